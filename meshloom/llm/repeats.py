@@ -8,12 +8,12 @@ equal offsets, and windows in a row that share an anchor form a *run*.
 2. Runs equal as a whole collapse under partial aggregation, however many copies there are; a
    run seen twice is repeated throughout.
 3. Only anchors with two or more different runs need suffixes.  Their runs are cut into pieces
-   of up to PIECE windows aligned on the anchor, and pieces whose common core no other piece has go.
-   What is left is sorted as shards: each has its Burrows-Wheeler transform over a
-   super-alphabet of length/4-byte symbols, and shard transforms merge by iterative interleave
+   of up to PIECE windows aligned on the anchor, pieces whose common core no other piece has go, and
+   equal pieces collapse.  Different pieces with a common core are sorted as shards: each has its Burrows-Wheeler transform over a
+   super-alphabet of length/2-byte symbols, and shard transforms merge by iterative interleave
    refinement: iteration h orders suffixes by h symbols with one stable pass over the
    transforms, no suffix is sorted again, and a boundary first seen in iteration h is a common
-   prefix of h-1 symbols.  Intervals without a boundary after four iterations are the strings of
+   prefix of h-1 symbols.  Intervals without a boundary after SYMBOLS iterations are the strings of
    `length` bytes that occur twice or more.
 4. Anchors with more than HOT_ANCHOR different runs (a passage in countless contexts) would
    fill one task; their windows are counted by hash with partial aggregation instead.
@@ -39,6 +39,9 @@ PIECE = 64
 HOT_ANCHOR = 4096
 SEGMENT = 1 << 23
 SHARD = 1 << 17
+PART = 2000
+#: Symbols a window has; the super-alphabet's symbols are length/SYMBOLS bytes.
+SYMBOLS = 2
 _POS = 24
 
 
@@ -169,36 +172,24 @@ def merge(a: Shard, b: Shard, depth: int) -> tuple[Shard, np.ndarray]:
 def repeated_starts(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
     """Text positions s, first <= s <= last of some piece (whose bytes end at last+length), whose
     length-byte string occurs at two or more positions of the pieces."""
-    q = length // 4
+    q = length // SYMBOLS
     h = Hashes(data)
-    ends = last + length
-    width = int(-(-(ends - first).max() // q))
-    phases = np.minimum(q, ends - first)
-    piece = np.repeat(np.arange(len(first)), phases)
-    begin = first[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(phases) - phases, phases)
-    place = begin[:, None] + q * np.arange(width)
-    inside = place < ends[piece][:, None]
-    stop = np.minimum(place + q, ends[piece][:, None])
-    raw = np.zeros(place.shape, np.uint64)
-    raw[inside] = h.of(place[inside], stop[inside])
-    flat, rank = np.unique(raw[inside], return_inverse=True)
-    symbols = np.full(place.shape, -1, np.int32)
-    symbols[inside] = rank
-    place = np.where(inside, place, -1)
-    step = max(1, SHARD // width)
+    count = last - first + 1
+    starts = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    place = starts[:, None] + q * np.arange(SYMBOLS)
+    _, rank = np.unique(h.of(place.ravel(), place.ravel() + q), return_inverse=True)
+    symbols = rank.reshape(place.shape).astype(np.int32)
+    step = SHARD // SYMBOLS
     # Neighbouring strings go to different shards, so that equal ones meet in the merges.
     count = -(-len(symbols) // step)
     shards = [Shard.build(symbols[k::count], place[k::count]) for k in range(count)]
     shards = shards if len(shards) > 1 else [*shards, Shard(symbols[:0, 0], place[:0, 0], 0)]
     while len(shards) > 1:
-        merged = [merge(shards[k], shards[k + 1], 4) for k in range(0, len(shards) - 1, 2)]
+        merged = [merge(shards[k], shards[k + 1], SYMBOLS) for k in range(0, len(shards) - 1, 2)]
         shards = [m[0] for m in merged] + shards[2 * len(merged) :]
     interval, where = merged[0][1], shards[0].place
-    full = np.zeros(len(data) + 1, bool)  # positions with length bytes before their piece ends
-    starts = np.repeat(first - np.cumsum(last - first + 1) + (last - first + 1), last - first + 1) + np.arange(int((last - first + 1).sum()))
-    full[starts] = True
-    ok = (where >= 0) & full[where]
-    where, interval = where[ok], interval[ok]
+    whole = (where >= 0) & (shards[0].bwt < 0)  # suffixes that are whole windows, not their later symbols
+    where, interval = where[whole], interval[whole]
     size = np.bincount(interval)
     return np.sort(where[size[interval] >= 2])
 
@@ -224,29 +215,44 @@ def _resolve(length: int):
         row = np.repeat(np.arange(len(n)), n)
         j = low[row] // PIECE + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         start = a[row] - PIECE * j
-        core = Hashes(data).of(start, start - PIECE + 1 + length)
+        hashes = Hashes(data)
+        core = hashes.of(start, start - PIECE + 1 + length)
         key = mix(core ^ mix(cols["fp"][row].view(np.uint64) + j.astype(np.uint64) * LANES[22]))
         _, inverse, size = np.unique(key, return_inverse=True, return_counts=True)
         live = size[inverse] >= 2
         if not live.any():
             return None
         row, j, inverse = row[live], j[live], inverse[live]
-        by_key = np.argsort(inverse, kind="stable")
-        row, j = row[by_key], j[by_key]
         first = a[row] - np.minimum(high[row], PIECE * j + PIECE - 1)
         last = a[row] - np.maximum(low[row], PIECE * j)
-        # The pieces' own bytes, end to end: neighbouring pieces of a run overlap in the text.
-        size = last - first + length
-        to = np.concatenate([[0], np.cumsum(size)])
-        own = data[np.repeat(first - to[:-1], size) + np.arange(to[-1])]
-        hit = repeated_starts(own, to[:-1], to[:-1] + last - first, length)
-        p = np.searchsorted(to, hit, "right") - 1
-        r = row[p]
-        at = cols["off"][r] + first[p] - offs[r] + hit - to[p]
+        # Equal pieces are repeated throughout; one of each goes on, where its core has other pieces too.
+        whole = mix(hashes.of(first, last + length) + (a[row] - first).astype(np.uint64) * LANES[23] + inverse.astype(np.uint64) * LANES[24])
+        _, rep, cls, copies = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+        copies = np.maximum(copies, np.bincount(cls, weights=cols["c"][row] > 1).astype(np.int64) * 2)
+        again = np.flatnonzero(copies[cls] >= 2)
+        n = (last - first + 1)[again]
+        r_all = np.repeat(row[again], n)
+        at_all = np.repeat(first[again] - offs[row[again]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        variants = np.bincount(inverse[rep], minlength=len(size))
+        rep = rep[variants[inverse[rep]] >= 2]
+        rep = rep[np.argsort(inverse[rep], kind="stable")]
+        row, first, last, single = row[rep], first[rep], last[rep], copies[cls[rep]] == 1
+        r, at = r_all, at_all
+        if len(rep):
+            # The pieces' own bytes, end to end: neighbouring pieces of a run overlap in the text.
+            size = last - first + length
+            to = np.concatenate([[0], np.cumsum(size)])
+            own = data[np.repeat(first - to[:-1], size) + np.arange(to[-1])]
+            hit = repeated_starts(own, to[:-1], to[:-1] + last - first, length)
+            p = np.searchsorted(to, hit, "right") - 1
+            hit, p = hit[single[p]], p[single[p]]
+            r = np.concatenate([r, row[p]])
+            at = np.concatenate([at, first[p] - offs[row[p]] + hit - to[p]])
         once = cols["c"][r] == 1
         r, at = r[once], at[once]
         if not len(r):
             return None
+        at = at + cols["off"][r]
         order = np.lexsort((at, r))
         r, at = r[order], at[order]
         head = np.ones(len(r), bool)
@@ -256,8 +262,14 @@ def _resolve(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ("fp",)):
-            if got := solve(table):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["t1", "t2", "span"])
+            fp = table["fp"].to_numpy()
+            heads = np.append(np.flatnonzero(np.append(True, fp[1:] != fp[:-1])), len(fp))
+            s = 0
+            while s < len(fp):  # whole groups, about PART runs at a time
+                e = int(heads[min(np.searchsorted(heads, s + PART), len(heads) - 1)])
+                if got := solve(table.slice(s, e - s)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["t1", "t2", "span"])
+                s = e
 
     return run, "t1 long, t2 int, span long"
 
@@ -345,8 +357,8 @@ def _remove(at_text: int, at_span: int, whole_chars: bool):
 
 def _with_spans(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, str]:
     """docs with a column of encoded spans (start << 31 | length) to remove."""
-    if length % 4 or length < 2 * K:
-        raise ValueError("length must be a multiple of 4 and at least twice the anchor size")
+    if length % SYMBOLS or length < max(2 * K, 2 * PIECE):
+        raise ValueError("length must be a multiple of SYMBOLS and at least twice the anchor and piece sizes")
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     text = F.coalesce(F.col(text_col), F.lit(""))
