@@ -1,0 +1,270 @@
+"""Small fixtures and brute force for the training-data operators: nulls, empty and long texts, ties,
+repeated rows, empty tables and clashing extra columns."""
+
+import base64
+import hashlib
+import io
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from meshloom.llm import bpe, gifmedia, html_extract, html_training, ngram_join, packing, pseudonyms, quality, queries, repeats, toxicity, warc
+
+W = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, kept string, sid long"
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(5)
+    vocab = ["".join(rng.choice(list("abcdeéß"), 5)) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(vocab, n))
+    a, b, passage = prose(200), prose(120), prose(110)
+    near = a.replace(" ", "  ", 3).rsplit(" ", 3)[0]
+    out = [(1, a), (2, a.upper()), (3, near), (4, None), (5, ""), (6, "  \n "), (7, "one two"), (8, "One two"), (9, b + " " + passage), (10, passage + " " + prose(90)), (11, a), (11, a), (None, a), (12, prose(30000)), (13, "x" * 5000), (14, "é" * 900)]
+    return [(i, t, "extra", 7) for i, t in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def shingles(t, n):
+    w = W.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_ngram_classes(docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_LIST", hot)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_classes(docs, n=4, percent=85).collect())
+    sets = {i: shingles(t, 4) for i, t, *_ in rows if i is not None}
+    comp = {i: i for i in sets}
+    for _ in sets:
+        for i, s in sets.items():
+            for j, t in sets.items():
+                if s and t and 100 * len(s & t) >= 85 * len(s | t):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    assert got == Counter((i, len(shingles(t, 4)), comp.get(i)) for i, t, *_ in rows)
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_repeats(docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_ANCHOR", hot)
+    texts = [(i, (t or "").encode()) for i, t, *_ in rows]
+    seen = Counter(x[s : s + 400] for _, x in texts for s in range(len(x) - 399))
+    want = Counter()
+    for i, x in texts:
+        m = bytearray(len(x))
+        for s in range(len(x) - 399):
+            if seen[x[s : s + 400]] > 1:
+                m[s : s + 400] = b"\1" * 400
+        want[i, len(x), sum(m), bytes(b for b, f in zip(x, m) if not f)] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in repeats.repeated_bytes(docs).collect()) == want
+    out = repeats.without_repeats(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+
+
+def test_quality_and_pipeline_filter(docs, rows):
+    got = {(r.doc_id, r.n_words, r.word_chars, r.n_repeat_words, r.kept) for r in quality.quality_verdicts(docs).collect()}
+    for i, t, *_ in rows:
+        w = W.findall(t or "")
+        win = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        rep = {k + d for k in range(len(w) - 2) if win[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        assert any(g[:4] == (i, len(w), sum(map(len, w)), len(rep)) for g in got)
+    kept = quality.quality_filter(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 3, 9, 10, 12}
+
+
+def test_packing(docs, rows):
+    got = packing.pack(docs, buckets=3, budget=500).collect()
+    assert len(got) == len(rows) and sum(r.n_tokens for r in got) == sum(len(W.findall(t or "")) for _, t, *_ in rows)
+    assert all(r.n_pad >= 0 for r in got) and len({(r.bucket, r.batch, r.slot) for r in got}) == len(got)
+    size = Counter()
+    for r in got:
+        size[r.bucket, r.batch] += r.bucket_len
+    lens = {(r.bucket, r.batch): r.bucket_len for r in got}
+    assert all(v <= 500 or v == lens[k] for k, v in size.items())
+
+
+def test_bounds_match_brute_force():
+    from itertools import combinations
+
+    rng = np.random.default_rng(1)
+    lengths, counts = np.sort(rng.choice(100, 9, replace=False)) + 1, rng.integers(1, 20, 9)
+    cost = lambda b: sum(c * min(x for x in b if x >= n) for n, c in zip(lengths, counts))
+    best = min(cost([*c, lengths[-1]]) for k in range(3) for c in combinations(lengths[:-1].tolist(), k))
+    assert cost(packing.optimal_bounds(lengths, counts, 3)) == best
+
+
+def luhn(s):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(s))) % 10 == 0
+
+
+def test_pseudonyms(spark):
+    t = "a jo.doe7@ex.com 10.0.0.9 +1 (212) 555-0147 4539 1488 0343 6467 4539148803436467 123-45-6789 2024-02-29 12/31/1999 2023-02-30 1234567890123456 password=abcdef0123"
+    df = spark.createDataFrame([(1, t, "x"), (2, t, "x"), (3, None, "x"), (4, "", "x")], "doc_id long, text string, n_found string")
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonym_report(df).collect()}
+    assert got[1] == got[2] and got[3] is None and got[4] == ""
+    for x in ("jo.doe7", "10.0.0.9", "555-0147", "4539 1488", "123-45-6789", "2024-02-29", "12/31/1999", "abcdef0123"):
+        assert x not in got[1]
+    for x in ("@ex.com", "2023-02-30", "1234567890123456"):
+        assert x in got[1]
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\b4\d{15}\b", got[1])
+    assert len(cards) == 2 and cards[0].replace(" ", "") == cards[1] and luhn(cards[1])
+    assert pseudonyms.pseudonymised(df).columns == df.columns
+
+
+def test_number_permutation_is_a_bijection(spark):
+    df = spark.range(60).select(pseudonyms.feistel_numbers(F.floor(F.col("id") / 10), F.col("id") % 10, 6, 10, "k", "t").alias("p"))
+    got = {(r.p.a, r.p.b) for r in df.collect()}
+    assert got == {(a, b) for a in range(6) for b in range(10)}
+
+
+def test_bpe_equals_the_rank_library(docs, rows, spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    odd = ["a  b", " lead", "end ", "x \n y", "a\n\n  b", "　wide　 ", "<|endoftext|>", "it's  'S", "\x1c \x1d", "😀é 12٣", "a  b ", "t   u", "\t\tq  "]
+    df = spark.createDataFrame([(100 + k, t, "e", 1) for k, t in enumerate(odd)] + rows, SCHEMA)
+    ids = bpe.encode(df, queries.vocabulary(), with_offsets=True)
+    want = Counter((i, tuple(enc.encode_ordinary(t or ""))) for i, t, *_ in [(100 + k, t) for k, t in enumerate(odd)] + rows)
+    got = ids.collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+    assert Counter((r.doc_id, bytes(r.decoded)) for r in bpe.decode(ids, queries.vocabulary()).collect()) == Counter((i, (t or "").encode()) for i, t, *_ in [(100 + k, t) for k, t in enumerate(odd)] + rows)
+    c = bpe.codec(queries.vocabulary())
+    smile = c.encode(["😀é"])[0]
+    assert "".join(c.decode_stream(smile)) == "😀é"
+
+
+def test_warc_round_trip_over_small_ranges(spark):
+    same = "<p>" + "copy " * 60
+    magic = "\x1f\x8b\x08" * 50
+    data = [(1, "u", same), (2, None, same), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", magic), (8, "u", "z" * 300000), (9, "a\nb", same)]
+    pages = spark.createDataFrame([(*x, "d") for x in data], "page_id long, url string, html string, digest string")
+    got = {r.page_id: r for r in warc.read_archives(spark, warc.write_archives(pages), range_bytes=97).collect()}
+    assert len(got) == len(data)
+    for i, _, h in data:
+        raw = (h or "").encode()
+        r = got[i]
+        assert (r.payload_bytes, r.digest) == (len(raw), hashlib.sha256(raw).hexdigest())
+        assert (r.record_type, r.refers_to) == (("revisit", 1) if i in (2, 9) else ("response", None))
+    assert warc.read_archives(spark, warc.write_archives(pages.limit(0))).count() == 0
+
+
+def test_warc_reader_passes_false_magic():
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    other = pack.compress(b"no header here") + pack.flush()
+    raw = b"junk\x1f\x8b\x08junk" + other + warc.record(1, "u", b"abc", "d", None) + b"\x1f\x8b\x08"
+    assert [f["warc-type"] for _, f, _ in warc.members(io.BytesIO(raw), 0, len(raw), len(raw))] == ["response"]
+
+
+def test_gif_round_trip_and_general_streams(docs, rows):
+    got = Counter((r.doc_id, r.n_bytes, r.payload_sha256, r.tail_crc32) for r in gifmedia.media_digests(gifmedia.to_media(docs)).collect())
+    want = Counter()
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        pad = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        want[i, len(raw), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-32:])] += 1
+    assert got == want
+
+
+def compress(data, min_code):
+    """Ordinary LZW, to test the general decoder."""
+    clear, bits, n = 1 << min_code, 0, 0
+    out = bytearray()
+    width, table = min_code + 1, {bytes([i]): i for i in range(clear)}
+    nxt = clear + 2
+
+    def put(code):
+        nonlocal bits, n
+        bits |= code << n
+        n += width
+        while n >= 8:
+            out.append(bits & 255)
+            bits >>= 8
+            n -= 8
+
+    put(clear)
+    word = b""
+    for c in data:
+        more = word + bytes([c])
+        if more in table:
+            word = more
+            continue
+        put(table[word])
+        if nxt < 4096:
+            table[more] = nxt
+            if nxt == 1 << width and width < 12:
+                width += 1
+            nxt += 1
+        word = bytes([c])
+    put(table[word])
+    put(clear + 1)
+    return bytes(out) + bytes([bits & 255])
+
+
+def test_lzw_decodes_compressed_streams():
+    rng = np.random.default_rng(2)
+    for size in (1, 50, 3000, 30000):
+        data = rng.integers(0, 4, size).astype(np.uint8).tobytes()
+        assert gifmedia.lzw(compress(data, 2), 2, size).tobytes() == data
+
+
+def test_gif_disposal_and_transparency():
+    red, blue = gifmedia.Frame(0, 0, 2, 2, 5, 1, None, False, np.array([[255, 0, 0], [0, 0, 255]], np.uint8), 2, b""), None
+    red.indices = np.zeros((2, 2), np.uint8)
+    blue = gifmedia.Frame(1, 0, 1, 2, 5, 3, 0, False, red.palette, 2, b"", np.array([[0], [1]], np.uint8))
+    last = gifmedia.Frame(0, 0, 1, 1, 5, 2, None, False, red.palette, 2, b"", np.array([[1]], np.uint8))
+    image = gifmedia.Image(2, 2, 0, red.palette, [red, blue, last])
+    a, b, c = gifmedia.compose(image)
+    assert (a == [255, 0, 0]).all() and (b[1, 1] == [0, 0, 255]).all() and (b[0, 1] == [255, 0, 0]).all()
+    assert (c[1, 1] == [255, 0, 0]).all() and (c[0, 0] == [0, 0, 255]).all()
+    assert gifmedia.luminance_histogram(image).sum() == 12
+
+
+HELD_OUT = (
+    "<div class=menu><a>[~1]</a><a>[~2]</a></div><article><h1>[+6]</h1><p>[+30]<div class='ad-box'>[-14]</div><p>[+2]<p>[+44]</article><div id=comments><p>[-20]</div><footer>[-9]</footer>",
+    "<header><nav><a>[~3]</a></nav></header><main><p>[+12]<p>[+70]<form>[-4]</form></main><aside>[-33]</aside>",
+    "<ul><li><a>[~1]</a><li><a>[~2]</a></ul><p>[+40]<p>[+28]<p>[+50]<div><a>[~4]</a></div>",
+)
+
+
+def test_html_tree_on_held_out_pages(spark):
+    x, y = html_training.labelled(HELD_OUT)
+    assert (html_extract.trained().predict(x) == (y > 0.5)).mean() >= 0.95
+    page = "<html><head><title>T</title><script>var a='<p>no</p>';</script></head><body><nav><a href=x>menu</a></nav><article><h1>A &amp; B</h1><p>one<br>two&nbsp; three <b>f</b>our<p><a href=y>link</a></article><footer>no</footer>"
+    df = spark.createDataFrame([(1, "u", page, "t"), (2, "u", None, "t"), (3, None, "", "t"), (4, "u", page[:-30], "t")], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html_extract.extract(df).collect()}
+    assert got[1].text == "A & B\n\none two three four\n\nlink" and got[2].text == "" and got[3].n_chars == 0
+
+
+def test_toxicity_chain(spark):
+    rng = np.random.default_rng(3)
+    vocab = [f"{a}{b}" for a in "bcdfghjkl" for b in ("ana", "oro", "iti", "ele", "unu")]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 5 == 0
+        words = [*rng.choice(vocab, 40), *(["awful", "nasty"] if toxic else [])]
+        rows.append((i, " ".join(words)))
+        if i < 300:
+            labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame([*rows, (1000, None), (1001, "")], "doc_id long, text string")
+    chain = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), queries.CATEGORIES)
+    got = {r.doc_id: r.toxic for r in toxicity.score(docs, chain).collect()}
+    assert all(got[i] == (i % 5 == 0) for i in range(300, 400)) and not got[1000]
+    none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), queries.CATEGORIES)
+    assert not any(r.toxic for r in toxicity.score(docs, none).collect())
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    for f in (ngram_join.ngram_classes, repeats.repeated_bytes, quality.quality_verdicts, packing.pack, pseudonyms.pseudonym_report):
+        assert f(none).count() == 0
