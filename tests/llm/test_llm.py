@@ -107,7 +107,7 @@ def luhn(s):
 
 
 def test_pseudonyms(spark):
-    t = "a jo.doe7@ex.com 10.0.0.9 +1 (212) 555-0147 4539 1488 0343 6467 4539148803436467 123-45-6789 2024-02-29 12/31/1999 2023-02-30 1234567890123456 password=abcdef0123"
+    t = "a jo.doe7@ex.com 10.0.0.9 +1 (212) 555-0147 card 4539 1488 0343 6467 or 4539148803436467 ssn 123-45-6789 2024-02-29 12/31/1999 2023-02-30 1234567890123456 password=abcdef0123"
     df = spark.createDataFrame([(1, t, "x"), (2, t, "x"), (3, None, "x"), (4, "", "x")], "doc_id long, text string, n_found string")
     got = {r.doc_id: r.text for r in pseudonyms.pseudonym_report(df).collect()}
     assert got[1] == got[2] and got[3] is None and got[4] == ""
