@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import Hashes, LANES, SYMBOL_LOWER, Scratch, U, components, hidden, mix, signed, slices, words
 
-GROUPS = 32
+GROUPS = 256
+#: A count of a byte's limit or more stands for any count, so bounds stay upper bounds.
+FULL, ANY = 255, 1 << 20
 SKETCH_BITS = 16
 HOT_LIST = 4096
 SMALL_LIST = 32
@@ -131,7 +133,7 @@ def _prefixes(n: int, percent: int, classes: np.ndarray, excess: np.ndarray):
                     size.append(len(t))
                     vid.append(i)
                     vn.append(len(s))
-                    vec.append(np.bincount((s % U(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+                    vec.append(np.bincount((s % U(GROUPS)).astype(np.int64), minlength=GROUPS).clip(max=FULL).astype(np.uint8).tobytes())
                 if len(seen) > 200_000:
                     seen.clear()
                 if not token:
@@ -284,7 +286,8 @@ def _pairs(percent: int, cross: bool):
             key = [table[k].to_numpy() for k in ("list", "sub")]
             sid, n = table["sid"].to_numpy(), table["n"].to_numpy()
             comp = table["comp"].to_numpy() if cross else None
-            vec = np.frombuffer(b"".join(table["vec"].to_pylist()), np.uint32).reshape(-1, GROUPS)
+            vec = np.frombuffer(b"".join(table["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.uint32)
+            vec[vec == FULL] = ANY
             head = np.ones(len(sid), bool)
             head[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
             at = np.append(np.flatnonzero(head), len(sid))
