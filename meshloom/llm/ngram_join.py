@@ -239,7 +239,7 @@ class CountTree:
         """Indices of all points whose bound allows a link with (v, n)."""
         at = None
         for top, lo, hi in reversed(self.levels):
-            at = np.arange(len(lo)) if at is None else at
+            at = np.arange(len(lo)) if at is None else at[at < len(lo)]
             at = self._fits(at, top, lo, hi, v, n)
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
         at = np.arange(len(self.n)) if at is None else at[at < len(self.n)]

@@ -53,6 +53,17 @@ def test_ngram_classes(docs, rows, hot, monkeypatch):
     assert got == Counter((i, len(shingles(t, 4)), comp.get(i)) for i, t, *_ in rows)
 
 
+@pytest.mark.parametrize("size", [1, 40, 1100, 1300])
+def test_count_tree_finds_what_a_scan_finds(size):
+    rng = np.random.default_rng(size)
+    vec = rng.integers(0, 6, (size, ngram_join.GROUPS)).astype(np.uint32)
+    n = vec.sum(axis=1).astype(np.int64) - rng.integers(0, 20, size)
+    tree = ngram_join.CountTree(vec, n, 60)
+    for q in range(0, size, max(1, size // 5)):
+        fits = (100 * n >= 60 * n[q]) & (100 * n[q] >= 60 * n) & (np.minimum(vec, vec[q]).sum(axis=1) >= ngram_join.need(n[q], n, 60))
+        assert sorted(tree.query(vec[q], n[q]).tolist()) == np.flatnonzero(fits).tolist()
+
+
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_repeats(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_ANCHOR", hot)
