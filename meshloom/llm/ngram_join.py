@@ -13,13 +13,13 @@ Routing makes this distributed and exact without comparing all pairs:
    documents, then by hash).  Sets that link share a token among the first
    n - ceil(t*n) + 1 of each, so only sets that meet in such a token can link.
    Lists of sets that meet in a token, once each, are what the R-trees index.
-3. First pass: each list yields stars (each set with the first set it may link with), the
-   pairs are verified and components built.  Second pass: the lists that still hold sets of
-   more than one component yield every surviving pair across components, which are verified
-   too.  A pair is left out only where its ends are already known to be connected.
+3. In STAR_TURNS turns each list yields stars (each set with one set of another component that
+   it may link with), the pairs are verified and components built; lists without such pairs, or of
+   one component, go.  At last the remaining lists yield every surviving pair across components,
+   which are verified too.  A pair is left out only where its ends are already known to be connected.
 
-Hot lists are split by hash; their first set (pass one) or the sets outside their largest
-component (pass two) go to every part.  No list, bucket or group is capped.
+Hot lists are split by hash; their least set (in the turns) or the sets outside their largest
+component (at last) go to every part.  No list, bucket or group is capped.
 
 Defined results: null and blank texts have empty sets, which link with nothing (component is
 their own id); a null id names no document: its row comes back with a null component; rows
@@ -44,6 +44,7 @@ SKETCH_BITS = 16
 HOT_LIST = 4096
 SMALL_LIST = 32
 LEAF = 32
+STAR_TURNS = 3
 _BLOCK = 1 << 10
 
 
@@ -277,57 +278,56 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _pairs(percent: int, cross: bool):
-    """Map over rows sorted by (list, sub): pairs that the R-tree can't rule out.  Not cross: each
-    set with the first one it may link with.  cross: all pairs between components."""
+def _pairs(percent: int, cross: bool, turn: int = 0):
+    """Map over rows sorted by (list, sub): pairs of different components that the R-tree can't rule
+    out.  cross: all of them.  Else stars: sets in an order that each turn draws anew, each with the
+    first one before it that it may link with; a list with any such pair yields one at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, ("list", "sub")):
             key = [table[k].to_numpy() for k in ("list", "sub")]
             sid, n = table["sid"].to_numpy(), table["n"].to_numpy()
-            comp = table["comp"].to_numpy() if cross else None
+            comp = table["comp"].to_numpy()
             vec = np.frombuffer(b"".join(table["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.uint32)
             vec[vec == FULL] = ANY
             head = np.ones(len(sid), bool)
             head[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
             at = np.append(np.flatnonzero(head), len(sid))
-            left, right = [], []
+            left, right, where = [], [], []
             size = np.diff(at)
             two = at[:-1][size == 2]
             if len(two):  # the commonest lists, all at once
                 a, b = two, two + 1
                 ok = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (np.minimum(vec[a], vec[b]).sum(axis=1) >= need(n[a], n[b], percent))
-                ok &= sid[a] != sid[b]
-                if cross:
-                    ok &= comp[a] != comp[b]
+                ok &= comp[a] != comp[b]
                 left.append(sid[a[ok]])
                 right.append(sid[b[ok]])
+                where.append(key[0][a[ok]])
             for s, e in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True):
-                order = s + np.argsort(sid[s:e], kind="stable")
+                drawn = mix(sid[s:e].view(np.uint64) ^ LANES[turn]) if turn else sid[s:e]
+                order = s + np.argsort(drawn, kind="stable")
                 tree = CountTree(vec[order], n[order], percent)
-                if cross:
-                    c = comp[order]
-                    for j in range(len(order)):
+                c = comp[order]
+                free = np.ones(len(order), bool)
+                for j in range(len(order)):
+                    if cross or free[j]:
                         hit = tree.query(vec[order[j]], n[order[j]])
-                        hit = hit[(hit < j) & (c[hit] != c[j])]
-                        left.append(sid[order[hit]])
-                        right.append(np.full(len(hit), sid[order[j]]))
-                else:
-                    free = np.ones(len(order), bool)
-                    for j in range(len(order)):
-                        if free[j]:
-                            hit = tree.query(vec[order[j]], n[order[j]])
-                            hit = hit[free[hit] & (hit > j)]
-                            free[hit] = False
-                            left.append(np.full(len(hit), sid[order[j]]))
-                            right.append(sid[order[hit]])
+                        hit = hit[(c[hit] != c[j]) & ((hit < j) if cross else free[hit] & (hit > j))]
+                        free[hit] = False
+                        left.append(np.full(len(hit), sid[order[j]]))
+                        right.append(sid[order[hit]])
+                        where.append(np.full(len(hit), key[0][s]))
             a, b = np.concatenate([*left, sid[:0]]), np.concatenate([*right, sid[:0]])
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            got = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
-            got = got[got[:, 0] != got[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], ["a", "b"])
+            lo, hi, at_list = np.minimum(a, b), np.maximum(a, b), np.concatenate([*where, sid[:0]])
+            if cross:  # the lists don't matter any more
+                at_list[:] = 0
+            if len(lo):
+                order = np.lexsort((hi, lo, at_list))
+                lo, hi, at_list = lo[order], hi[order], at_list[order]
+                first = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (at_list[1:] != at_list[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (at_list, lo, hi)], ["list", "a", "b"])
 
-    return run, "a long, b long"
+    return run, "list long, a long, b long"
 
 
 # -- verification --------------------------------------------------------------------------
@@ -412,23 +412,30 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         scratch.release(blobs)
         return out
 
-    def grouped(rows: DataFrame, cross: bool) -> DataFrame:
-        run, schema = _pairs(percent, cross)
-        rows = rows.select("list", "sub", "sid", "n", "vec", *(["comp"] if cross else []))
-        rows = rows.repartition("list", "sub").sortWithinPartitions("list", "sub")
-        return scratch.cut(rows.mapInArrow(run, schema).distinct(), "pairs")
-
-    tried = grouped(split(members.join(points, "sid"), F.col("sid") == F.col("hub")), cross=False)
-    links = verified(tried)
-    labels = components(links, scratch, "a", "b")
-
-    known = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).select("list", "sid", "comp")
-    mixed = known.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("list")
-    open_ = scratch.cut(known.join(mixed, "list"), "open")
-    size = open_.groupBy("list", "comp").agg(F.count("*").alias("c"))
+    def grouped(rows: DataFrame, cross: bool, turn: int = 0) -> DataFrame:
+        run, schema = _pairs(percent, cross, turn)
+        rows = rows.select("list", "sub", "sid", "n", "vec", "comp").repartition("list", "sub").sortWithinPartitions("list", "sub")
+        return scratch.cut(rows.mapInArrow(run, schema), "pairs")
+
+    hot = members.groupBy("list").agg(F.count("*").alias("m")).where(f"m > {HOT_LIST}").select("list")
+    known, tried, links = members.withColumn("comp", F.col("sid")), None, None
+    for turn in range(STAR_TURNS):
+        # A list without a pair in one turn has none in the next; those that are split stay to the end.
+        got = grouped(split(known.join(points, "sid"), F.col("sid") == F.col("hub")), False, turn)
+        fresh = got.select("a", "b").distinct()
+        fresh = scratch.cut(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
+        found = verified(fresh)
+        tried = fresh if tried is None else tried.union(fresh)
+        links = found if links is None else links.union(found)
+        labels = components(links, scratch, "a", "b")
+        live = members.join(got.select("list").union(hot).distinct(), "list")
+        named = live.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("list", "sid", F.coalesce("component", "sid").alias("comp"))
+        mixed = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("list")
+        known = scratch.cut(named.join(mixed, "list"), "open")
+    size = known.groupBy("list", "comp").agg(F.count("*").alias("c"))
     main = size.groupBy("list").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    rest = grouped(split(open_.join(main, "list").join(points, "sid"), F.col("comp") != F.col("main")), cross=True)
-    rest = rest.join(tried, ["a", "b"], "left_anti")
+    rest = grouped(split(known.join(main, "list").join(points, "sid"), F.col("comp") != F.col("main")), True)
+    rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = verified(scratch.cut(rest, "rest"))
 
     nodes = classed.select("sid", "rep")
