@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,17 +65,21 @@ def sfc_partition(centers: DataFrame, parts: int, cells_per_unit: float = 4.0) -
     return at.select("elem_id", part.cast("int").alias("part_id"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder (spark.checkpoint.dir; one of our own only where unset)."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='meshloom-')}"
+    path = f"{base.rstrip('/')}/meshloom/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def refine(parts: DataFrame, edges: DataFrame, n_parts: int, rounds: int = 2, imbalance: float = 1.05) -> DataFrame:
     """Label propagation that lowers the edge cut: a cell moves to the part most of its neighbours are in
     if that gains edges and the part stays within `imbalance` of the mean; moves of even and odd rounds
-    go up and down in part number, so two neighbours never swap.  Each round is checkpointed."""
+    go up and down in part number, so two neighbours never swap.  Each round is written to the shared folder, which cuts lineage."""
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-    spark = parts.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='meshloom-')}")
-    parts, both = parts.checkpoint(), both.checkpoint()
+    parts, both = _written(parts), _written(both)
     for k in range(rounds):
         around = both.join(parts.select(F.col("elem_id").alias("b"), F.col("part_id").alias("to")), "b").groupBy("a", "to").agg(F.count("*").alias("n"))
         mine = around.join(parts.withColumnRenamed("elem_id", "a"), "a").withColumn("own", F.max(F.when(F.col("to") == F.col("part_id"), F.col("n")).otherwise(0)).over(Window.partitionBy("a")))
@@ -83,7 +90,8 @@ def refine(parts: DataFrame, edges: DataFrame, n_parts: int, rounds: int = 2, im
         room = sizes.crossJoin(F.broadcast(mean)).select(F.col("part_id").alias("to"), F.floor(F.col("mean") * imbalance - F.col("size")).alias("room"))
         order = F.row_number().over(Window.partitionBy("to").orderBy(F.desc("gain"), "a"))
         moves = best.join(F.broadcast(room), "to").withColumn("r", order).where("r <= room").select(F.col("a").alias("elem_id"), F.col("to"))
-        parts = parts.join(moves, "elem_id", "left").select("elem_id", F.coalesce("to", "part_id").alias("part_id")).checkpoint()
+        parts = parts.join(moves, "elem_id", "left").select("elem_id", F.coalesce("to", "part_id").alias("part_id"))
+        parts = _written(parts)
     return parts
 
 
