@@ -194,15 +194,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, scratch: Scratch, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component): for each node of an edge the least node it is connected with.
 
-    Task-local union-find, then large-star and small-star rounds until nothing changes.  All
-    state stays in written tables; the driver sees two numbers a round.  The joins are plain
+    Task-local union-find, then large-star and small-star rounds until all trees are
+    stars.  All state stays in written tables; the driver sees one flag a round.  The joins are plain
     equi-joins that AQE splits where a hub is hot.
     """
     star = "u long, v long"
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").mapInArrow(_forest, star).distinct()
     e = scratch.cut(e, "edges")
-    last = None
-    while True:
+
+    def stars(e: DataFrame) -> bool:
+        """Whether no node has two parents, or a parent and a child."""
+        ends = F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("c"), F.lit(0).alias("r")), F.struct(F.col("v").alias("x"), F.lit(0).alias("c"), F.lit(1).alias("r")))
+        seen = e.select(F.inline(ends)).groupBy("x").agg(F.sum("c").alias("c"), F.max("r").alias("r"))
+        return seen.agg(F.max(F.expr("c > 1 OR (c = 1 AND r = 1)"))).first()[0] is not True
+
+    while not stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -213,10 +219,6 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "u", b: str = "v") -
         new = scratch.cut(small, "stars")
         scratch.release(e)
         e = new
-        sign = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign == last:
-            break
-        last = sign
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 

@@ -14,8 +14,8 @@ Routing makes this distributed and exact without comparing all pairs:
    n - ceil(t*n) + 1 of each, so only sets that meet in such a token can link.
    Lists of sets that meet in a token, once each, are what the R-trees index.
 3. In STAR_TURNS turns each list yields stars (each set with one set of another component that
-   it may link with), the pairs are verified and components built; lists without such pairs, or of
-   one component, go.  At last the remaining lists yield every surviving pair across components,
+   it may link with), the pairs are verified and the components they join are merged; lists without
+   such pairs, or of one component, go.  At last the remaining lists yield every surviving pair across components,
    which are verified too.  A pair is left out only where its ends are already known to be connected.
 
 Hot lists are split by hash; their least set (in the turns) or the sets outside their largest
@@ -293,16 +293,15 @@ def _pairs(percent: int, cross: bool, turn: int = 0):
             head = np.ones(len(sid), bool)
             head[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
             at = np.append(np.flatnonzero(head), len(sid))
-            left, right, where = [], [], []
+            left, right = [sid[:0]], [sid[:0]]  # rows of the table
             size = np.diff(at)
             two = at[:-1][size == 2]
             if len(two):  # the commonest lists, all at once
                 a, b = two, two + 1
                 ok = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (np.minimum(vec[a], vec[b]).sum(axis=1) >= need(n[a], n[b], percent))
                 ok &= comp[a] != comp[b]
-                left.append(sid[a[ok]])
-                right.append(sid[b[ok]])
-                where.append(key[0][a[ok]])
+                left.append(a[ok])
+                right.append(b[ok])
             for s, e in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True):
                 drawn = mix(sid[s:e].view(np.uint64) ^ LANES[turn]) if turn else sid[s:e]
                 order = s + np.argsort(drawn, kind="stable")
@@ -314,20 +313,19 @@ def _pairs(percent: int, cross: bool, turn: int = 0):
                         hit = tree.query(vec[order[j]], n[order[j]])
                         hit = hit[(c[hit] != c[j]) & ((hit < j) if cross else free[hit] & (hit > j))]
                         free[hit] = False
-                        left.append(np.full(len(hit), sid[order[j]]))
-                        right.append(sid[order[hit]])
-                        where.append(np.full(len(hit), key[0][s]))
-            a, b = np.concatenate([*left, sid[:0]]), np.concatenate([*right, sid[:0]])
-            lo, hi, at_list = np.minimum(a, b), np.maximum(a, b), np.concatenate([*where, sid[:0]])
-            if cross:  # the lists don't matter any more
-                at_list[:] = 0
+                        left.append(np.full(len(hit), order[j]))
+                        right.append(order[hit])
+            i, j = np.concatenate(left), np.concatenate(right)
+            i, j = np.where(sid[i] < sid[j], i, j), np.where(sid[i] < sid[j], j, i)
+            lo, hi = sid[i], sid[j]
+            at_list = np.zeros_like(lo) if cross else key[0][i]  # the lists don't matter any more
             if len(lo):
                 order = np.lexsort((hi, lo, at_list))
-                lo, hi, at_list = lo[order], hi[order], at_list[order]
+                lo, hi, at_list, i, j = lo[order], hi[order], at_list[order], i[order], j[order]
                 first = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (at_list[1:] != at_list[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (at_list, lo, hi)], ["list", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (at_list, lo, hi, comp[i], comp[j])], ["list", "a", "b", "u", "v"])
 
-    return run, "list long, a long, b long"
+    return run, "list long, a long, b long, u long, v long"
 
 
 # -- verification --------------------------------------------------------------------------
@@ -359,9 +357,9 @@ def _verify(percent: int):
                 at[at == len(large)] = 0
                 o = int((large[at] == small).sum())
                 good.append(100 * o >= percent * (len(x) + len(y) - o))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return run, "a long, b long"
+    return run, "u long, v long"
 
 
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -403,12 +401,13 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return rows.withColumn("sub", F.explode(subs))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Of candidate pairs (a, b) the ends (u, v), components so far, of those that link."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classed, "sid").select("sid", F.col("rep").alias("doc"))
         blobs = source.join(wanted, "doc").select("sid", "text").mapInArrow(_set_blobs(n)[0], _set_blobs(n)[1]).dropDuplicates(["sid"])
         blobs = scratch.cut(blobs, "sets")
         both = pairs.join(blobs.select(F.col("sid").alias("b"), F.col("blob").alias("y")), "b").join(blobs.select(F.col("sid").alias("a"), F.col("blob").alias("x")), "a")
         run, schema = _verify(percent)
-        out = scratch.cut(both.select("a", "b", "x", "y").mapInArrow(run, schema), "links")
+        out = scratch.cut(both.select("u", "v", "x", "y").mapInArrow(run, schema), "links")
         scratch.release(blobs)
         return out
 
@@ -418,30 +417,32 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return scratch.cut(rows.mapInArrow(run, schema), "pairs")
 
     hot = members.groupBy("list").agg(F.count("*").alias("m")).where(f"m > {HOT_LIST}").select("list")
-    known, tried, links = members.withColumn("comp", F.col("sid")), None, None
+    known, tried, merged = members.withColumn("comp", F.col("sid")), None, []
     for turn in range(STAR_TURNS):
         # A list without a pair in one turn has none in the next; those that are split stay to the end.
         got = grouped(split(known.join(points, "sid"), F.col("sid") == F.col("hub")), False, turn)
-        fresh = got.select("a", "b").distinct()
+        fresh = got.select("a", "b", "u", "v").distinct()
         fresh = scratch.cut(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
-        found = verified(fresh)
-        tried = fresh if tried is None else tried.union(fresh)
-        links = found if links is None else links.union(found)
-        labels = components(links, scratch, "a", "b")
-        live = members.join(got.select("list").union(hot).distinct(), "list")
-        named = live.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("list", "sid", F.coalesce("component", "sid").alias("comp"))
+        tried = fresh.select("a", "b") if tried is None else tried.union(fresh.select("a", "b"))
+        # Each turn works on the graph whose nodes are the components of the turn before.
+        merged.append(scratch.cut(components(verified(fresh), scratch).withColumnRenamed("node", "comp"), "merged"))
+        live = known.join(got.select("list").union(hot).distinct(), "list")
+        named = live.join(merged[-1], "comp", "left").select("list", "sid", F.coalesce("component", "comp").alias("comp"))
         mixed = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("list")
         known = scratch.cut(named.join(mixed, "list"), "open")
     size = known.groupBy("list", "comp").agg(F.count("*").alias("c"))
     main = size.groupBy("list").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     rest = grouped(split(known.join(main, "list").join(points, "sid"), F.col("comp") != F.col("main")), True)
-    rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    rest = rest.select("a", "b", "u", "v").distinct().join(tried, ["a", "b"], "left_anti")
     more = verified(scratch.cut(rest, "rest"))
-
-    nodes = classed.select("sid", "rep")
-    edges = links.union(more).join(nodes.select(F.col("sid").alias("a"), F.col("rep").alias("u")), "a").join(nodes.select(F.col("sid").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
-    final = components(edges, scratch)
-    classed = classed.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "copies", F.coalesce("component", "rep").alias("component_id"))
+    merged.append(scratch.cut(components(more, scratch).withColumnRenamed("node", "comp"), "merged"))
+
+    named = classed.withColumn("comp", F.col("sid"))
+    for names in merged:
+        named = named.join(names, "comp", "left").select("sid", "rep", "copies", F.coalesce("component", "comp").alias("comp"))
+    named = scratch.cut(named, "named")
+    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c")
+    classed = named.join(least, "comp", "left").select("sid", "copies", F.coalesce("component_id", "rep").alias("component_id"))
     classed = scratch.cut(classed, "classes")
     out = rows.join(classed, "sid", "left")
     own = F.when(F.col("doc").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id"))
