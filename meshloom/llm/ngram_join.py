@@ -281,9 +281,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 def _pairs(percent: int, cross: bool, turn: int = 0):
     """Map over rows sorted by (list, sub): pairs of different components that the R-tree can't rule
     out.  cross: all of them.  Else stars: sets in an order that each turn draws anew, each with the
-    first one before it that it may link with; a list with any such pair yields one at least."""
+    first one before it that it may link with; a list with any such pair yields one at least.
+    Rows are pairs (without a list) and, for stars, the lists that have any (without a pair)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # pairs that many lists share leave a task once; forgotten when large
         for table in _groups(batches, ("list", "sub")):
             key = [table[k].to_numpy() for k in ("list", "sub")]
             sid, n = table["sid"].to_numpy(), table["n"].to_numpy()
@@ -318,12 +320,20 @@ def _pairs(percent: int, cross: bool, turn: int = 0):
             i, j = np.concatenate(left), np.concatenate(right)
             i, j = np.where(sid[i] < sid[j], i, j), np.where(sid[i] < sid[j], j, i)
             lo, hi = sid[i], sid[j]
-            at_list = np.zeros_like(lo) if cross else key[0][i]  # the lists don't matter any more
-            if len(lo):
-                order = np.lexsort((hi, lo, at_list))
-                lo, hi, at_list, i, j = lo[order], hi[order], at_list[order], i[order], j[order]
-                first = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (at_list[1:] != at_list[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (at_list, lo, hi, comp[i], comp[j])], ["list", "a", "b", "u", "v"])
+            if not cross and len(lo):
+                lists = pa.array(np.unique(key[0][i]))
+                none = pa.nulls(len(lists), pa.int64())
+                yield pa.RecordBatch.from_arrays([lists, none, none, none, none], ["list", "a", "b", "u", "v"])
+            new = []
+            for k, pair in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+                if pair not in seen:
+                    seen.add(pair)
+                    new.append(k)
+            if new:
+                none = pa.nulls(len(new), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, *[pa.array(x[new]) for x in (lo, hi, comp[i], comp[j])]], ["list", "a", "b", "u", "v"])
+            if len(seen) > 200_000:
+                seen.clear()
 
     return run, "list long, a long, b long, u long, v long"
 
@@ -421,12 +431,12 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for turn in range(STAR_TURNS):
         # A list without a pair in one turn has none in the next; those that are split stay to the end.
         got = grouped(split(known.join(points, "sid"), F.col("sid") == F.col("hub")), False, turn)
-        fresh = got.select("a", "b", "u", "v").distinct()
+        fresh = got.where("a IS NOT NULL").select("a", "b", "u", "v").distinct()
         fresh = scratch.cut(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
         tried = fresh.select("a", "b") if tried is None else tried.union(fresh.select("a", "b"))
         # Each turn works on the graph whose nodes are the components of the turn before.
         merged.append(scratch.cut(components(verified(fresh), scratch).withColumnRenamed("node", "comp"), "merged"))
-        live = known.join(got.select("list").union(hot).distinct(), "list")
+        live = known.join(got.where("list IS NOT NULL").select("list").union(hot).distinct(), "list")
         named = live.join(merged[-1], "comp", "left").select("list", "sid", F.coalesce("component", "comp").alias("comp"))
         mixed = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("list")
         known = scratch.cut(named.join(mixed, "list"), "open")
