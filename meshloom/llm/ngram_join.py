@@ -13,10 +13,12 @@ Routing makes this distributed and exact without comparing all pairs:
    documents, then by hash).  Sets that link share a token among the first
    n - ceil(t*n) + 1 of each, so only sets that meet in such a token can link.
    Lists of sets that meet in a token, once each, are what the R-trees index.
-3. In STAR_TURNS turns each list yields stars (each set with one set of another component that
-   it may link with), the pairs are verified and the components they join are merged; lists without
-   such pairs, or of one component, go.  At last the remaining lists yield every surviving pair across components,
-   which are verified too.  A pair is left out only where its ends are already known to be connected.
+3. In TURNS each list yields few pairs, stars at first (each set with one set of another component that
+   it may link with), then the nearest ones (each set outside the list's largest component with the
+   NEAREST sets of other components that have the highest bounds).  The pairs are verified and the
+   components they join are merged; lists without such pairs, or of one component, go.  At last the
+   remaining lists yield every surviving pair across components, which are verified too.  A pair is
+   left out only where its ends are already known to be connected.
 
 Hot lists are split by hash; their least set (in the turns) or the sets outside their largest
 component (at last) go to every part.  No list, bucket or group is capped.
@@ -44,7 +46,8 @@ SKETCH_BITS = 16
 HOT_LIST = 4096
 SMALL_LIST = 32
 LEAF = 32
-STAR_TURNS = 3
+TURNS = ("stars", "stars", "nearest")
+NEAREST = 4
 _BLOCK = 1 << 10
 
 
@@ -230,22 +233,24 @@ class CountTree:
             top, lo, hi = np.maximum.reduceat(top, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
             self.levels.append((top, lo, hi))
 
-    def _fits(self, at: np.ndarray, top: np.ndarray, lo: np.ndarray, hi: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    def _fits(self, at: np.ndarray, top: np.ndarray, lo: np.ndarray, hi: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         p = self.percent
         at = at[(100 * hi[at] >= p * n) & (100 * n >= p * lo[at])]
-        bound = np.minimum(top[at], v).sum(axis=1)
-        return at[bound >= need(n, lo[at], p)]
+        bound = np.minimum(np.minimum(top[at], v).sum(axis=1), n).astype(np.int64)
+        fits = bound >= need(n, lo[at], p)
+        return at[fits], bound[fits]
 
-    def query(self, v: np.ndarray, n: int) -> np.ndarray:
-        """Indices of all points whose bound allows a link with (v, n)."""
+    def query(self, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of all points whose bound allows a link with (v, n), and the Jaccard bounds."""
         at = None
         for top, lo, hi in reversed(self.levels):
             at = np.arange(len(lo)) if at is None else at[at < len(lo)]
-            at = self._fits(at, top, lo, hi, v, n)
+            at, _ = self._fits(at, top, lo, hi, v, n)
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
         at = np.arange(len(self.n)) if at is None else at[at < len(self.n)]
-        at = self._fits(at, self.vec, self.n, self.n, v, n)
-        return self.order[at]
+        at, bound = self._fits(at, self.vec, self.n, self.n, v, n)
+        bound = np.minimum(bound, self.n[at])
+        return self.order[at], bound / np.maximum(1, n + self.n[at] - bound)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -278,11 +283,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _pairs(percent: int, cross: bool, turn: int = 0):
+def _pairs(percent: int, kind: str, turn: int = 0):
     """Map over rows sorted by (list, sub): pairs of different components that the R-tree can't rule
-    out.  cross: all of them.  Else stars: sets in an order that each turn draws anew, each with the
-    first one before it that it may link with; a list with any such pair yields one at least.
-    Rows are pairs (without a list) and, for stars, the lists that have any (without a pair)."""
+    out.  all: all of them.  stars: sets in an order that each turn draws anew, each with the
+    first one before it that it may link with.  nearest: each set outside the largest component with
+    the NEAREST ones of highest bounds.  A list with any such pair yields one at least.
+    Rows are pairs (without a list) and, but for all, the lists that have any (without a pair)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # pairs that many lists share leave a task once; forgotten when large
@@ -310,17 +316,27 @@ def _pairs(percent: int, cross: bool, turn: int = 0):
                 tree = CountTree(vec[order], n[order], percent)
                 c = comp[order]
                 free = np.ones(len(order), bool)
+                if kind == "nearest":
+                    of, counts = np.unique(c, return_counts=True)
+                    free = c != of[counts.argmax()]
                 for j in range(len(order)):
-                    if cross or free[j]:
-                        hit = tree.query(vec[order[j]], n[order[j]])
-                        hit = hit[(c[hit] != c[j]) & ((hit < j) if cross else free[hit] & (hit > j))]
-                        free[hit] = False
+                    if kind == "all" or free[j]:
+                        hit, bound = tree.query(vec[order[j]], n[order[j]])
+                        fits = c[hit] != c[j]
+                        if kind == "nearest":
+                            hit, bound = hit[fits], bound[fits]
+                            hit = hit[np.argsort(-bound, kind="stable")[:NEAREST]]
+                        elif kind == "stars":
+                            hit = hit[fits & free[hit] & (hit > j)]
+                            free[hit] = False
+                        else:
+                            hit = hit[fits & (hit < j)]
                         left.append(np.full(len(hit), order[j]))
                         right.append(order[hit])
             i, j = np.concatenate(left), np.concatenate(right)
             i, j = np.where(sid[i] < sid[j], i, j), np.where(sid[i] < sid[j], j, i)
             lo, hi = sid[i], sid[j]
-            if not cross and len(lo):
+            if kind != "all" and len(lo):
                 lists = pa.array(np.unique(key[0][i]))
                 none = pa.nulls(len(lists), pa.int64())
                 yield pa.RecordBatch.from_arrays([lists, none, none, none, none], ["list", "a", "b", "u", "v"])
@@ -421,16 +437,16 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         scratch.release(blobs)
         return out
 
-    def grouped(rows: DataFrame, cross: bool, turn: int = 0) -> DataFrame:
-        run, schema = _pairs(percent, cross, turn)
+    def grouped(rows: DataFrame, kind: str, turn: int = 0) -> DataFrame:
+        run, schema = _pairs(percent, kind, turn)
         rows = rows.select("list", "sub", "sid", "n", "vec", "comp").repartition("list", "sub").sortWithinPartitions("list", "sub")
         return scratch.cut(rows.mapInArrow(run, schema), "pairs")
 
     hot = members.groupBy("list").agg(F.count("*").alias("m")).where(f"m > {HOT_LIST}").select("list")
     known, tried, merged = members.withColumn("comp", F.col("sid")), None, []
-    for turn in range(STAR_TURNS):
+    for turn, kind in enumerate(TURNS):
         # A list without a pair in one turn has none in the next; those that are split stay to the end.
-        got = grouped(split(known.join(points, "sid"), F.col("sid") == F.col("hub")), False, turn)
+        got = grouped(split(known.join(points, "sid"), F.col("sid") == F.col("hub")), kind, turn)
         fresh = got.where("a IS NOT NULL").select("a", "b", "u", "v").distinct()
         fresh = scratch.cut(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
         tried = fresh.select("a", "b") if tried is None else tried.union(fresh.select("a", "b"))
@@ -442,7 +458,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         known = scratch.cut(named.join(mixed, "list"), "open")
     size = known.groupBy("list", "comp").agg(F.count("*").alias("c"))
     main = size.groupBy("list").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    rest = grouped(split(known.join(main, "list").join(points, "sid"), F.col("comp") != F.col("main")), True)
+    rest = grouped(split(known.join(main, "list").join(points, "sid"), F.col("comp") != F.col("main")), "all")
     rest = rest.select("a", "b", "u", "v").distinct().join(tried, ["a", "b"], "left_anti")
     more = verified(scratch.cut(rest, "rest"))
     merged.append(scratch.cut(components(more, scratch).withColumnRenamed("node", "comp"), "merged"))

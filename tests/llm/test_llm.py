@@ -61,7 +61,7 @@ def test_count_tree_finds_what_a_scan_finds(size):
     tree = ngram_join.CountTree(vec, n, 60)
     for q in range(0, size, max(1, size // 5)):
         fits = (100 * n >= 60 * n[q]) & (100 * n[q] >= 60 * n) & (np.minimum(vec, vec[q]).sum(axis=1) >= ngram_join.need(n[q], n, 60))
-        assert sorted(tree.query(vec[q], n[q]).tolist()) == np.flatnonzero(fits).tolist()
+        assert sorted(tree.query(vec[q], n[q])[0].tolist()) == np.flatnonzero(fits).tolist()
 
 
 @pytest.mark.parametrize("hot", [4096, 1])
