@@ -19,6 +19,9 @@ PAGES = (
     "<article><header><h1>[+9]</h1></header><p>[+1]<p>[+12]<p>[+2]<p>[+150]<div class=related><h3>[-2]</h3><ul><li><a>[~7]</a><li><a>[~6]</a></ul></div><footer>[-10]</footer></article><footer><p>[-20]<a>[~2]</a></footer>",
     "<div class=post><p>[+5]<table><tr><td>[+2]<td>[+3]<tr><td>[+1]<td>[+8]</table><pre>[+25]</pre><dl><dt>[+2]<dd>[+11]</dl></div><div class=share><a>[~1]</a><a>[~1]</a></div>",
     "<article><p>[+6]<p><a>[=5]</a><p>[+17]<ol><li>[+1]<li><a>[=2]</a></ol></article><div class=newsletter><h2>[-4]</h2><p>[-24]</div><div role=banner>[-6]</div>",
+    # Short passages beside links, inside a container.
+    "<article><h2>[+3]</h2><p>[+4]<ul><li><a>[=1]</a><li><a>[=3]</a></ul><p>[+3]<p>[+5]<p><a>[=2]</a><p>[+1]</article><div>[-3]</div><div><a>[~1]</a></div>",
+    "<main><p>[+5]<p><a>[=1]</a><p>[+2]<div><a>[=4]</a></div><p>[+4]<div><a>[=6]</a></div></main><div>[-4]</div><div><a>[~2]</a></div>",
     # Pages without a container: words and links decide.
     "<div><a>[~1]</a> <a>[~1]</a></div><ul><li><a>[~2]</a><li><a>[~2]</a><li><a>[~3]</a></ul><h1>[+7]</h1><p>[+48]<p>[+35]<p>[+8]<p>[+60]<p>[+11]<div>[-3]</div><div><a>[~5]</a></div>",
     "<table><tr><td><a>[~2]</a><td><a>[~2]</a></table><div>[+70]</div><div>[+20]</div><div>[+45]</div><div>[-4]</div><div><a>[~9]</a></div>",
