@@ -48,6 +48,8 @@ SMALL_LIST = 32
 LEAF = 32
 TURNS = ("stars", "stars", "nearest")
 NEAREST = 4
+#: Ids of the documents to verify (16 bytes each) are broadcast up to this many; beyond it they are shuffled.
+BROADCAST_ROWS = 1 << 20
 _BLOCK = 1 << 10
 
 
@@ -405,7 +407,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = np.where(excess > 0, np.frexp(excess.astype(float))[1], 0).astype(np.int16)
 
     rows = profile.where("n >= 0").select("doc", "sid", "n")
-    classed = rows.where("n > 0 AND doc IS NOT NULL").groupBy("sid").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
+    classed = scratch.cut(rows.where("n > 0 AND doc IS NOT NULL").groupBy("sid").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classed")
 
     run, schema = _prefixes(n, percent, classes, excess)
     tokens = scratch.cut(source.where("doc IS NOT NULL").select("text").mapInArrow(run, schema), "tokens")
@@ -429,7 +431,9 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def verified(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) the ends (u, v), components so far, of those that link."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classed, "sid").select("sid", F.col("rep").alias("doc"))
-        blobs = source.join(wanted, "doc").select("sid", "text").mapInArrow(_set_blobs(n)[0], _set_blobs(n)[1]).dropDuplicates(["sid"])
+        wanted = scratch.cut(wanted, "wanted")
+        side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        blobs = source.join(side, "doc").select("sid", "text").mapInArrow(_set_blobs(n)[0], _set_blobs(n)[1]).dropDuplicates(["sid"])
         blobs = scratch.cut(blobs, "sets")
         both = pairs.join(blobs.select(F.col("sid").alias("b"), F.col("blob").alias("y")), "b").join(blobs.select(F.col("sid").alias("a"), F.col("blob").alias("x")), "a")
         run, schema = _verify(percent)
