@@ -149,6 +149,11 @@ class Scratch:
             where = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
+    def clear(self) -> None:
+        """Deletes all written tables."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
 
 def hidden(name: str, df: DataFrame) -> str:
     """A column name that clashes with none of df's (case-insensitively)."""

@@ -390,11 +390,11 @@ def _verify(percent: int):
     return run, "u long, v long"
 
 
-def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """(id, n_shingles, component_id, n_copies) for each row: its set size, the smallest id it is
     connected with by links (Jaccard of n-gram sets >= percent/100), and the rows with the same set."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram")
+    scratch = scratch or Scratch(spark, "ngram")
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
     run, schema = _profile(n)
@@ -480,12 +480,22 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def ngram_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component (the one with the smallest id; of rows that repeat it, one),
-    with all its columns.  Documents without words, or with a null id, all stay."""
-    got = ngram_classes(docs, id_col, text_col, n, percent)
-    leave = hidden("leaves", docs)
-    gone = got.where(f"`{id_col}` != component_id").select(F.col(id_col).alias(leave)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(leave), "left_anti")
+    """One row of each component, with all its columns: that of the smallest id (ids that are no numbers
+    follow, null ids come last); of rows that repeat it, one.  Rows are told apart by a number of their
+    own, so rows with a null id and rows that share an id but not a text count like any others.  Rows
+    without words all stay."""
+    scratch, inner = Scratch(docs.sparkSession, "dedup"), Scratch(docs.sparkSession, "ngram")
+    row = hidden("row", docs)
+    numbered = scratch.cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    got = ngram_classes(numbered, row, text_col, n, percent, inner).select(row, "component_id")
+    number = F.col(id_col).try_cast("long")
+    rank = F.struct(number.isNull().alias("a"), number.alias("b"), F.col(id_col).isNull().alias("c"), F.col(id_col).alias("d"), F.col(row).alias("row")).alias("rank")
+    ranked = scratch.cut(numbered.select(row, rank).join(got, row), "ranked")
+    inner.clear()
+    stays = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
+    gone = scratch.cut(ranked.select(row).join(stays, row, "left_anti"), "gone")
+    scratch.release(ranked)
+    return numbered.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, row, "left_anti").drop(row)
 
 
 _W = r"[^\x20\x09-\x0D]+"

@@ -54,6 +54,30 @@ def test_ngram_classes(docs, rows, hot, monkeypatch):
     assert got == Counter((i, len(shingles(t, 4)), comp.get(i)) for i, t, *_ in rows)
 
 
+def test_dedup_keeps_one_row_of_each_component(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d, e = (" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(120)) for _ in range(5))
+    near = c + " more"
+    data = [
+        (1, a), (1, a), (2, a), (None, a),  # repeated rows and a null id beside them
+        (5, b), (5, c), (3, near),  # one id with two texts; the group of c has a smaller one
+        (None, d), (None, d), (None, d + " end"),  # null ids only
+        (7, e), (None, e), (8, None), (8, ""), (None, " "), (8, ""),
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, row string").repartition(3)
+    out = ngram_join.ngram_dedup(df, n=5, percent=80)
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    blank = Counter((i, t) for i, t in data if not (t or "").strip())
+    tail = got - Counter([(1, a), (5, b), (3, near), (7, e)]) - blank
+    assert out.columns == df.columns and sum(got.values()) == 5 + sum(blank.values())
+    assert sum(tail.values()) == 1 and set(tail) <= {(None, d), (None, d + " end")}
+    # Nothing is left that the next stage would cut out of the kept rows.
+    assert Counter((r.doc_id, r.text) for r in repeats.without_repeats(out).collect()) == got
+    # Ids that are no numbers.
+    df = spark.createDataFrame([("y", a), ("x", a), ("10", b), ("9", b), (None, b)], "doc_id string, text string")
+    assert Counter((r.doc_id, r.text) for r in ngram_join.ngram_dedup(df).collect()) == Counter([("x", a), ("9", b)])
+
+
 @pytest.mark.parametrize("size", [1, 40, 1100, 1300])
 def test_count_tree_finds_what_a_scan_finds(size):
     rng = np.random.default_rng(size)
