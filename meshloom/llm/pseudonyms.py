@@ -4,7 +4,10 @@ Every value found is replaced by another of the same format: halves of the value
 shift each other by a keyed digest, within the alphabet or range each part allows, so the map is
 a permutation of the format's values and equal values get equal pseudonyms in every document.
 
-- card numbers (13 to 19 digits, Luhn-valid): first digit and grouping stay, the check digit is right;
+- card numbers (13 to 19 digits, Luhn-valid): first digit and grouping stay, the check digit is right.
+  They are looked for beside the other findings, in runs of digit groups with single blanks or hyphens
+  between: first in the usual groupings (CARDS), then as any groups in a row, of usual lengths and first
+  digits (LOOSE), then of all (LEAST, the longest first), at every group;
 - IPv4 addresses with octets up to 255; North American telephone numbers with valid area and
   exchange codes; social security numbers with valid parts; each stays valid and punctuated alike;
 - dates from 1900 to 2099 (YYYY-MM-DD, MM/DD/YYYY, DD.MM.YYYY) that the calendar has: year and
@@ -35,9 +38,16 @@ IPV4 = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])"
 PHONE = r"(?<![0-9+(])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[01][0-9]/[0-3][0-9]/(?:19|20)[0-9]{2}|[0-3][0-9]\.[01][0-9]\.(?:19|20)[0-9]{2})(?![0-9/-])"
-CARD = r"(?<![0-9])[1-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-PATTERN = "|".join((EMAIL, KEY, ASSIGNED, IPV4, PHONE, SSN, DATE, CARD))
-KINDS = ("email", "key", "assigned", "ipv4", "phone", "ssn", "date", "card")
+#: All of a text that cards can be in, and the cards at the start of a group: of several that are Luhn-valid the first here.
+RUN = r"(?<![0-9])[0-9][0-9 -]{11,}[0-9](?![0-9])"
+_FOUR = r"[0-9]{4}"
+_USUAL = (rf"[0-9]{{12,18}}|[0-9]{{3}}([ -]){_FOUR}\1{_FOUR}\1{_FOUR}", r"[0-9]{3}([ -])(?:[0-9]{6}\1[0-9]{4,5}|[0-9]{4}\1[0-9]{5}|[0-9]{5}\1[0-9]{6}|[0-9]{3}\1[0-9]{3}\1[0-9]{3})", rf"[0-9]{{3}}([ -]){_FOUR}\1{_FOUR}\1{_FOUR}\1[0-9]{{3}}")
+CARDS = tuple(rf"^(?=[3-6]|2[2-7])[0-9](?:{p})(?![0-9])" for p in _USUAL)
+_any = lambda n: rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])"
+LOOSE = (rf"^(?=[3-6]|2[2-7]){_any(16)}", rf"^(?=3[ -]?[47]){_any(15)}")
+LEAST = tuple(rf"^(?!0){_any(n)}" for n in range(19, 12, -1))
+PATTERN = "|".join((EMAIL, KEY, ASSIGNED, IPV4, PHONE, SSN, DATE))
+KINDS = ("email", "key", "assigned", "ipv4", "phone", "ssn", "date")
 #: Any of these characters starts or is part of every finding that a digit or @ or = belongs to.
 PRESENT = r"[0-9@]|AKIA|[=:]"
 
@@ -147,7 +157,52 @@ def _card(m: Column, key: str) -> Column:
         body = _let(p, lambda x: F.concat(F.substr(d, F.lit(1), F.lit(1)), _padded(x["a"], half), _padded(x["b"], rest)))
         return _let(body, lambda x: F.concat(x, F.pmod(10 - F.pmod(_luhn(x, 0), F.lit(10)), F.lit(10)).cast("string")))
 
-    return F.when(F.pmod(_luhn(d, 1), F.lit(10)) == 0, _refill(m, _let(d, changed))).otherwise(m)
+    return _refill(m, _let(d, changed))
+
+
+def _piece(text: Column, found: bool) -> Column:
+    return F.array(F.struct(text.alias("text"), F.lit(found).alias("found")))
+
+
+def _cards_of(run: Column, key: str, readings: tuple[str, ...]) -> Column:
+    """A run as pieces, with its cards changed.  Of cards that overlap the one that starts first counts."""
+    size = lambda x: F.regexp_count(x, F.lit("[0-9]+"))
+    joined = lambda groups, a, b: F.array_join(F.slice(groups, a + 1, F.greatest(b - a, F.lit(0))), "")
+
+    def valid(tail):
+        luhn = lambda x: F.pmod(_let(_digits(x), lambda d: _luhn(d, 1)), F.lit(10)) == 0
+        return F.coalesce(*[_let(F.regexp_extract(tail, p, 0), lambda x: F.when((x != "") & luhn(x), x)) for p in readings])
+
+    def pieces(groups):
+        def step(acc, i):
+            def taken(card):
+                more = F.struct(i.alias("at"), (i + size(card)).alias("end"), card.alias("card"))
+                return F.when(card.isNull(), acc).otherwise(F.concat(acc, F.array(more)))
+
+            free = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) <= i
+            return F.when(free, _let(_let(joined(groups, i, i + 19), valid), taken)).otherwise(acc)
+
+        def around(cards):
+            def one(k):
+                last = F.get(cards, k - 1)
+                start, until = F.coalesce(last["end"], F.lit(0)), F.coalesce(F.get(cards, k)["at"], F.size(groups))
+                mark = F.coalesce(F.regexp_extract(F.get(groups, start - 1), "[^0-9]*$", 0), F.lit(""))
+                between = _piece(F.concat(mark, joined(groups, start, until)), False)
+                return F.concat(F.when(k > 0, _piece(_card(last["card"], key), True)).otherwise(F.slice(_piece(F.lit(""), True), 1, 0)), between)
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cards)), one))
+
+        none = F.array().cast("array<struct<at:int,end:int,card:string>>")
+        return _let(F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), none, step), around)
+
+    return _let(F.regexp_extract_all(run, F.lit("[0-9]+[^0-9]*"), F.lit(0)), pieces)
+
+
+def _cards(text: Column, key: str, readings: tuple[str, ...]) -> Column:
+    """text as pieces, with its cards changed."""
+    changed = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: _cards_of(r, key, readings))
+    both = F.zip_with(F.split(text, RUN, -1), changed, lambda g, c: F.when(c.isNull(), _piece(g, False)).otherwise(F.concat(_piece(g, False), c)))
+    return F.when(text.rlike(RUN), F.flatten(both)).otherwise(_piece(text, False))
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -206,8 +261,8 @@ def _text_part(m: Column, head: str, tail: str, key: str, kind: str) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    out = F.lit("card")
-    for name, p in reversed(list(zip(KINDS[:-1], (EMAIL, KEY, ASSIGNED, IPV4, PHONE, SSN, DATE), strict=True))):
+    out = F.lit(KINDS[-1])
+    for name, p in reversed(list(zip(KINDS[:-1], (EMAIL, KEY, ASSIGNED, IPV4, PHONE, SSN), strict=True))):
         out = F.when(m.rlike(f"^(?:{p})$"), F.lit(name)).otherwise(out)
     return out
 
@@ -222,26 +277,40 @@ def pseudonym(m: Column, key: str) -> Column:
             .when(k == "ipv4", _ipv4(v, key))
             .when(k == "phone", _phone(v, key))
             .when(k == "ssn", _ssn(v, key))
-            .when(k == "date", _date(v, key))
-            .otherwise(_card(v, key))
+            .otherwise(_date(v, key))
         )
 
     return _let(F.struct(m.alias("v"), kind_of(m).alias("k")), by_kind)
 
 
-def pseudonymised_text(text: Column, key: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    gaps = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.zip_with(gaps, F.transform(found, lambda m: pseudonym(m, key)), lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
-    return F.when(text.rlike(PATTERN), joined).otherwise(text)
+def _with_pieces(docs: DataFrame, text_col: str, key: str, name: str) -> DataFrame:
+    """docs with a column of the text's pieces (text, found), all that is found changed; null for null.
+    The kinds but cards come first, then each level of cards in what is left."""
+    text = F.col(f"`{text_col}`")
+    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: pseudonym(m, key))
+    both = F.zip_with(F.split(text, PATTERN, -1), found, lambda g, p: F.when(p.isNull(), _piece(g, False)).otherwise(F.concat(_piece(g, False), _piece(p, True))))
+    out = docs.withColumn(name, F.when(text.rlike(PATTERN), F.flatten(both)).otherwise(F.when(text.isNotNull(), _piece(text, False))))
+    for readings in (CARDS, LOOSE, LEAST):
+        cards = F.flatten(F.transform(name, lambda p: F.when(p["found"], F.array(p)).otherwise(_cards(p["text"], key, readings))))  # noqa: B023
+        out = out.withColumn(name, F.when(text.rlike(RUN), cards).otherwise(F.col(name)))
+    return out
+
+
+def _text(pieces: Column) -> Column:
+    return F.array_join(F.transform(pieces, lambda p: p["text"]), "")
 
 
 def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = "meshloom") -> DataFrame:
     """docs with the text's personal data replaced; all rows and columns stay, in their order."""
-    return docs.select(*[pseudonymised_text(F.col(c), key).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    name = hidden("pieces", docs)
+    got = _with_pieces(docs, text_col, key, name)
+    return got.select(*[_text(F.col(name)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def pseudonym_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "meshloom") -> DataFrame:
-    """(id, text, n_found): the changed text and how many values were found in it."""
-    text = F.col(text_col)
-    return docs.select(F.col(id_col), pseudonymised_text(text, key).alias(text_col), F.coalesce(F.regexp_count(text, F.lit(PATTERN)), F.lit(0)).cast("long").alias("n_found"))
+    """(id, text, n_found): the changed text and how many values were found in it (of cards the valid ones)."""
+    docs = docs.select(id_col, text_col)
+    name = hidden("pieces", docs)
+    got = _with_pieces(docs, text_col, key, name)
+    count = F.size(F.filter(name, lambda p: p["found"]))
+    return got.select(F.col(id_col), _text(F.col(name)).alias(text_col), F.when(F.col(name).isNull(), 0).otherwise(count).cast("long").alias("n_found"))

@@ -156,6 +156,34 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymised(df).columns == df.columns
 
 
+CARD, SSN = "4539148803436467", "123-45-6789"
+SPACED = "4539 1488 0343 6467"
+
+
+@pytest.mark.parametrize("cards", [(CARD,), (SPACED,), (SPACED.replace(" ", "-"),), ("378282246310005",), ("3782 822463 10005",), ("4539-1488 0343 6467",), ("45391488 03436467",), (CARD, SPACED)])
+def test_cards_beside_other_numbers(spark, cards):
+    card = " ".join(cards)
+    beside = [card, f"order 12 {card}", f"{card} 12/31/1999", f"{card} {SSN}", f"{SSN} {card}", f"{card} 123", f"+1 (212) 555-0147 {card} 10.0.0.9", f"{card} 2024-02-28", f"{card}  7 7", f"1234567890123456 {card}", f"7 {card}", f"{card} 7"]
+    df = spark.createDataFrame(list(enumerate(beside)), "doc_id int, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonym_report(df).collect()}
+    new = got[0].text
+    assert new != card and luhn(re.sub("[^0-9]", "", new)[-len(re.sub("[^0-9]", "", cards[-1])) :]) and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", card)
+    for k, t in enumerate(beside):
+        # Equal cards get equal pseudonyms, whatever stands beside them; other personal data is replaced too.
+        assert new in got[k].text, t
+        assert not any(x in got[k].text for x in (*cards, "12/31/1999", SSN, "555-0147", "10.0.0.9", "2024-02-28")), t
+        assert got[k].n_found == len(cards) + sum(t.count(x) for x in ("12/31/1999", SSN, "555-0147", "10.0.0.9", "2024-02-28")), t
+    assert got[1].text == f"order 12 {new}" and got[5].text == f"{new} 123" and got[9].text == f"1234567890123456 {new}"
+
+
+def test_pseudonyms_of_neighbouring_numbers(spark):
+    t = "a jo.doe7@ex.com 10.0.0.9 +1 (212) 555-0147 4539 1488 0343 6467 4539148803436467 123-45-6789 2024-02-29 12/31/1999 2023-02-30 1234567890123456 password=abcdef0123"
+    got = pseudonyms.pseudonymised(spark.createDataFrame([(1, t), (2, "1 2 " * 3000 + CARD)], "doc_id long, text string")).collect()
+    for x in ("jo.doe7", "10.0.0.9", "555-0147", "4539 1488", CARD, "123-45-6789", "2024-02-29", "12/31/1999", "abcdef0123"):
+        assert x not in got[0].text and x not in got[1].text
+    assert "2023-02-30 1234567890123456 " in got[0].text
+
+
 def test_number_permutation_is_a_bijection(spark):
     df = spark.range(60).select(pseudonyms.feistel_numbers(F.floor(F.col("id") / 10), F.col("id") % 10, 6, 10, "k", "t").alias("p"))
     got = {(r.p.a, r.p.b) for r in df.collect()}
