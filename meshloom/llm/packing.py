@@ -1,9 +1,9 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths is taken on a fixed grid (exact to GRID_EXACT, then GRID_STEPS
-cells per doubling, each named by its largest length), so it has at most a few thousand cells
-however many documents there are.  Dynamic programming picks the bucket boundaries that minimise
-padding when every document is padded to its bucket's boundary.  Inside a bucket, documents fill
+The global histogram has each length that occurs, so it grows with the lengths that differ, not with
+the documents.  Dynamic programming (by divide and conquer, as the best last boundary never moves back
+when lengths grow) picks the bucket boundaries that minimise padding when every document is padded to
+its bucket's boundary.  Inside a bucket, documents fill
 batches of `budget` tokens in a global order: rows are counted in blocks by hash of the id,
 block offsets are prefix sums, so no task ever holds a bucket.
 
@@ -20,16 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, count_words
 
-GRID_EXACT = 512
-GRID_STEPS = 64
-
-
-def grid(length: Column) -> Column:
-    """The largest length of the cell that this length is in."""
-    step = F.pow(F.lit(2), F.floor(F.log2(length)) - GRID_STEPS.bit_length() + 1)
-    return F.when(length <= GRID_EXACT, length).otherwise(F.ceil(length / step) * step).cast("long")
-
-
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Boundaries (the largest length last) with the least sum of counts * boundary."""
     m = len(lengths)
@@ -41,11 +31,19 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     back = []
     for _ in range(1, k):
         new, arg = best.copy(), np.full(m, -1)
-        for i in range(1, m):
-            cost = best[:i] + (upto[i + 1] - upto[1 : i + 1]) * lengths[i]
-            j = int(cost.argmin())
-            if cost[j] < new[i]:
-                new[i], arg[i] = cost[j], j
+        todo = [(1, m, 0, m - 1)]
+        while todo:
+            lo, hi, first, last = todo.pop()
+            i = (lo + hi) // 2
+            end = min(i, last + 1)
+            cost = best[first:end] + (upto[i + 1] - upto[first + 1 : end + 1]) * lengths[i]
+            j = first + int(cost.argmin())
+            if cost[j - first] < new[i]:
+                new[i], arg[i] = cost[j - first], j
+            if lo < i:
+                todo.append((lo, i, first, j))
+            if i + 1 < hi:
+                todo.append((i + 1, hi, j, last))
         back.append(arg)
         best = new
     bounds, i = [int(lengths[m - 1])], m - 1
@@ -63,15 +61,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     scratch = Scratch(spark, "pack")
     n = (count_words(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("long")).alias("__n")
     sized = docs.select(F.col(id_col).alias("__id"), n)
-    sized = scratch.cut(sized.withColumn("__cell", grid(F.col("__n"))), "lengths")
-    histogram = sized.groupBy("__cell").agg(F.count("*").alias("c")).orderBy("__cell").collect()  # cells of the grid
-    cells, counts = np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64)
-    bounds = optimal_bounds(cells, counts, buckets) or [0]
+    sized = scratch.cut(sized, "lengths")
+    histogram = sized.groupBy("__n").agg(F.count("*").alias("c")).orderBy("__n").collect()  # a row for each length that occurs
+    lengths, counts = np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64)
+    bounds = optimal_bounds(lengths, counts, buckets) or [0]
     blocks = max(256, -(-int(counts.sum()) // rows_per_block))
     bucket, size = F.lit(0), F.lit(bounds[0])
     for i, b in enumerate(bounds[:-1]):
-        bucket = F.when(F.col("__cell") > b, F.lit(i + 1)).otherwise(bucket)
-        size = F.when(F.col("__cell") > b, F.lit(bounds[i + 1])).otherwise(size)
+        bucket = F.when(F.col("__n") > b, F.lit(i + 1)).otherwise(bucket)
+        size = F.when(F.col("__n") > b, F.lit(bounds[i + 1])).otherwise(size)
     rows = sized.select("__id", "__n", bucket.alias("bucket"), size.cast("long").alias("bucket_len"), F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(blocks)).alias("__block"))
     counted = rows.groupBy("bucket", "__block").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("bucket").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

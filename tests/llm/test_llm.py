@@ -138,6 +138,33 @@ def test_bounds_match_brute_force():
     assert cost(packing.optimal_bounds(lengths, counts, 3)) == best
 
 
+def test_packing_of_long_texts_has_the_least_padding(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    lengths = sorted(rng.choice(np.arange(520, 6000), 11, replace=False).tolist())
+    sizes = [n for n in lengths for _ in range(int(rng.integers(1, 6)))]
+    pad = lambda bounds: sum(min(b for b in bounds if b >= n) - n for n in sizes)
+    df = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string")
+    got = packing.pack(df, buckets=4, budget=16384).collect()
+    assert sum(r.n_pad for r in got) == min(pad([*c, lengths[-1]]) for c in combinations(lengths[:-1], 3))
+    assert {r.bucket_len for r in got} <= set(lengths) and max(r.slot for r in got) < 16384 // lengths[0]
+    same = packing.pack(spark.createDataFrame([(i, "w " * 1001) for i in range(3)], "doc_id long, text string")).collect()
+    assert {(r.bucket_len, r.n_pad) for r in same} == {(1001, 0)}
+
+
+def test_bounds_of_many_lengths_match_a_full_scan():
+    rng = np.random.default_rng(9)
+    for m in (1, 2, 60, 300):
+        lengths, counts = np.sort(rng.choice(9000, m, replace=False)) + 1, rng.integers(1, 50, m)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        best = [int(upto[i + 1] * lengths[i]) for i in range(m)]
+        for _ in range(4):
+            best = [min([best[i], *(best[j] + int((upto[i + 1] - upto[j + 1]) * lengths[i]) for j in range(i))]) for i in range(m)]
+        bounds = np.array(packing.optimal_bounds(lengths, counts, 5))
+        assert int((counts * bounds[np.searchsorted(bounds, lengths)]).sum()) == best[-1]
+
+
 def luhn(s):
     return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(s))) % 10 == 0
 
