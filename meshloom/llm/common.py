@@ -137,7 +137,13 @@ class Scratch:
 
     def cut(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        free = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go when the table is written
+        before = self.spark.conf.get(free, None)
+        self.spark.conf.set(free, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(free) if before is None else self.spark.conf.set(free, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

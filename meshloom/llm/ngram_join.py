@@ -9,10 +9,12 @@ node.  Pairs that survive are verified on the full sets.
 Routing makes this distributed and exact without comparing all pairs:
 
 1. Equal sets become one class, whose representative is its smallest id.
-2. All sets order their tokens alike (rare first by a fixed-size count sketch over all
-   documents, then by hash).  Sets that link share a token among the first
-   n - ceil(t*n) + 1 of each, so only sets that meet in such a token can link.
-   Lists of sets that meet in a token, once each, are what the R-trees index.
+2. All sets order their tokens alike: light ones by the number of sets that have them, then heavy ones
+   (by a fixed-size count sketch over all documents).  Sets that link share a token among the first
+   n - ceil(t*n) + 1 of each.  One shuffle by token finds which light tokens are shared at all; those go
+   back to their sets, of which most have only tokens of their own in their prefix and go.  Lists of
+   sets that meet in a prefix token, once each, are what the R-trees index.  What a set shares with any other
+   is all that verification needs, so no text is read again.
 3. In TURNS each list yields few pairs, stars at first (each set with one set of another component that
    it may link with), then the nearest ones (each set outside the list's largest component with the
    NEAREST sets of other components that have the highest bounds).  The pairs are verified and the
@@ -48,8 +50,8 @@ SMALL_LIST = 32
 LEAF = 32
 TURNS = ("stars", "stars", "nearest")
 NEAREST = 4
-#: Ids of the documents to verify (16 bytes each) are broadcast up to this many; beyond it they are shuffled.
-BROADCAST_ROWS = 1 << 20
+#: Tokens of a bucket, on average.
+BUCKET = 1 << 21
 _BLOCK = 1 << 10
 
 
@@ -118,45 +120,173 @@ def _sum_cells(key, table):
     return pa.table({"sid": [key[0].as_py()], "cells": [total.tobytes()]})
 
 
-def _prefixes(n: int, percent: int, classes: np.ndarray, excess: np.ndarray):
-    """Map: text -> (token, part, set id, size, vector) rows; the vector only with a set's first token."""
+def bucket_bits(tokens: int) -> int:
+    """Buckets (a power of two, by the leading bits of a token) of about BUCKET tokens each."""
+    return min(16, max(4, int(np.ceil(np.log2(max(1, tokens) / BUCKET)))))
+
+
+def _short(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """What is kept of a token: its bucket and its last 48 bits."""
+    return (tokens >> U(64 - bits) << U(48)) | (tokens & U((1 << 48) - 1))
+
+
+def _send(n: int, percent: int, bits: int, classes: np.ndarray):
+    """Map: text -> for each slice and bucket one row with the bucket's light tokens (48 bits each), set by
+    set, and for each set one row (bucket -1) with its size, count vector and heavy tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of one task need their rows once; forgotten when large
         for batch in batches:
             for _, _, data, offs in slices(batch[0]):
-                token, sid, size = [], [], []
-                vid, vn, vec = [], [], []
+                sets, ids = [], []
                 for s in shingle_sets(data, offs, n):
-                    if not len(s) or (i := set_id(s)) in seen:
-                        continue
-                    seen.add(i)
-                    p = prefix_length(len(s), percent)
-                    cls = classes[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
-                    t = s[np.argsort(cls, kind="stable")[:p]]
-                    token.append(t)
-                    sid.append(np.full(len(t), i, np.int64))
-                    size.append(len(t))
-                    vid.append(i)
-                    vn.append(len(s))
-                    vec.append(np.bincount((s % U(GROUPS)).astype(np.int64), minlength=GROUPS).clip(max=FULL).astype(np.uint8).tobytes())
+                    if len(s) and (i := set_id(s)) not in seen:
+                        seen.add(i)
+                        sets.append(s)
+                        ids.append(i)
                 if len(seen) > 200_000:
                     seen.clear()
-                if not token:
+                if not sets:
                     continue
-                t, i = np.concatenate(token), np.concatenate(sid)
-                parts = 1 + excess[(t >> U(64 - SKETCH_BITS)).astype(np.int64)] // (5 * HOT_LIST)
-                part = (mix(i.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-                none = len(t) + len(vid)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([signed(t), np.zeros(len(vid), np.int64)])),
-                    pa.array(np.concatenate([np.where(parts > 1, part, -1), np.full(len(vid), -2)])),
-                    pa.array(np.concatenate([i, np.array(vid, np.int64)])),
-                    pa.array(np.concatenate([np.zeros(len(t), np.int64), np.array(vn, np.int64)])),
-                    pa.array([None] * len(t) + vec, pa.binary()),
-                ], ["token", "part", "sid", "n", "vec"])
+                size, sid = np.array([len(s) for s in sets]), np.array(ids, np.int64)
+                token, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                heavy = classes[(token >> U(64 - SKETCH_BITS)).astype(np.int64)] > 0
+                few = np.bincount(row[heavy], minlength=len(sets))
+                ends = np.cumsum(few)
+                rest = token[heavy]
+                vec = [np.bincount((s % U(GROUPS)).astype(np.int64), minlength=GROUPS).clip(max=FULL).astype(np.uint8).tobytes() for s in sets]
+                none = pa.nulls(len(sets), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sets), -1, np.int32)), pa.array(sid), pa.array(size), pa.array(vec, pa.binary()), pa.array([rest[b - k : b].tobytes() for k, b in zip(few.tolist(), ends.tolist(), strict=True)], pa.binary()), none], _SENT)
+                light, row = token[~heavy], row[~heavy]
+                bucket = (light >> U(64 - bits)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                light, row, bucket = light[order], row[order], bucket[order]
+                six = np.ascontiguousarray(light.view(np.uint8).reshape(-1, 8)[:, :6])
+                head = np.ones(len(row), bool)  # a set's tokens in a bucket
+                head[1:] = (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])
+                at = np.flatnonzero(head)
+                count = np.diff(np.append(at, len(row))).astype(np.uint32)
+                group = np.append(np.flatnonzero(np.diff(bucket[at], prepend=-1)), len(at))
+                for g, h in zip(group[:-1].tolist(), group[1:].tolist(), strict=True):
+                    a, b = at[g], at[h] if h < len(at) else len(row)
+                    cells = [pa.array([bucket[a]], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())]
+                    cells += [pa.array([x.tobytes()], pa.binary()) for x in (six[a:b], sid[row[at[g:h]]], count[g:h])]
+                    yield pa.RecordBatch.from_arrays(cells, _SENT)
+
+    return run, "bucket int, sid long, n long, a binary, b binary, c binary"
+
+
+_SENT = ["bucket", "sid", "n", "a", "b", "c"]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket -> for each set, its tokens in the bucket that other sets have too, and their
+    frequencies; the sets' own rows pass."""
+    from collections import deque
+
+    own_rows: deque[pa.RecordBatch] = deque()
+
+    def light() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = int((batch["bucket"].to_numpy() < 0).sum())
+            if k:
+                own_rows.append(batch.slice(0, k).select(["sid", "n", "a", "b"]))
+            yield batch.slice(k)
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        while own_rows:
+            yield own_rows.popleft()
+
+    for table in _groups(light(), ("bucket",)):
+        yield from passed()
+        buckets = table["bucket"].to_numpy()
+        heads = np.append(np.flatnonzero(np.diff(buckets, prepend=-1)), len(buckets))
+        for s, e in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+            one = table.slice(s, e - s)
+            six = np.frombuffer(b"".join(one["a"].to_pylist()), np.uint8).reshape(-1, 6)
+            token = np.zeros((len(six), 8), np.uint8)
+            token[:, :6] = six
+            token = token.view(np.uint64).ravel()
+            sid = np.frombuffer(b"".join(one["b"].to_pylist()), np.int64)
+            count = np.frombuffer(b"".join(one["c"].to_pylist()), np.uint32)
+            row = np.repeat(np.arange(len(sid), dtype=np.int32), count)
+            order = np.argsort(token)
+            token, row = token[order], row[order]
+            same = np.zeros(len(token), bool)
+            same[1:] = token[1:] == token[:-1]
+            same[:-1] |= same[1:]
+            token, own = token[same], sid[row[same]]
+            order = np.lexsort((own, token))
+            token, own = token[order], own[order]
+            new = np.ones(len(token), bool)  # equal sets came from several tasks
+            new[1:] = (token[1:] != token[:-1]) | (own[1:] != own[:-1])
+            token, own = token[new], own[new]
+            head = np.ones(len(token), bool)
+            head[1:] = token[1:] != token[:-1]
+            df = np.diff(np.append(np.flatnonzero(head), len(token)))
+            df = np.repeat(df, df)
+            keep = df >= 2
+            token, own, df = token[keep] | (U(int(buckets[s])) << U(48)), own[keep], df[keep].clip(max=65535).astype(np.uint16)
+            order = np.argsort(own, kind="stable")
+            token, own, df = token[order], own[order], df[order]
+            at = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+            to = np.append(at[1:], len(own)) if len(own) else at
+            for k in range(0, len(at), 20_000):
+                cut = [(token[a:b].tobytes(), df[a:b].tobytes()) for a, b in zip(at[k : k + 20_000].tolist(), to[k : k + 20_000].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(own[at[k : k + 20_000]]), pa.nulls(len(cut), pa.int64()), pa.array([x for x, _ in cut], pa.binary()), pa.array([y for _, y in cut], pa.binary())], ["sid", "n", "a", "b"])
+    yield from passed()
+
+
+def _prefixes(percent: int, bits: int, classes: np.ndarray, excess: np.ndarray):
+    """Rows sorted by set (its own row, its shared light tokens from all buckets) -> the sets that have a
+    shared token in their prefix: (set id, size, vector, all shared tokens, prefix tokens and their parts)."""
 
-    return run, "token long, part long, sid long, n long, vec binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {k: [] for k in _OPEN}
+
+        def flush() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            batch = pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(_OPEN, kinds, strict=True)], _OPEN)
+            for v in out.values():
+                v.clear()
+            return batch
+
+        held = 0
+        for table in _groups(batches, ("sid",)):
+            sid, n = table["sid"].to_numpy(), table["n"].to_numpy(zero_copy_only=False)
+            a, b = table["a"].to_pylist(), table["b"].to_pylist()
+            heads = np.append(np.flatnonzero(np.append(True, sid[1:] != sid[:-1])), len(sid)).tolist()
+            for s, e in zip(heads[:-1], heads[1:], strict=True):
+                own = [k for k in range(s, e) if n[k] == n[k]]
+                back = [k for k in range(s, e) if n[k] != n[k]]
+                size, heavy = int(n[own[0]]), np.frombuffer(b[own[0]], np.uint64)
+                light, p = size - len(heavy), prefix_length(size, percent)
+                token = np.frombuffer(b"".join(a[k] for k in back), np.uint64)
+                want = min(p, light) - (light - len(token))  # shared light tokens in the prefix
+                if want <= 0 and p <= light:
+                    continue
+                df = np.frombuffer(b"".join(b[k] for k in back), np.uint16)
+                first = token[np.lexsort((token, df))[: max(0, want)]]
+                cell = (heavy >> U(64 - SKETCH_BITS)).astype(np.int64)
+                order = np.argsort(classes[cell], kind="stable")[: max(0, p - light)]
+                last = _short(heavy[order], bits)
+                parts = 1 + excess[cell[order]] // (5 * HOT_LIST)
+                part = (mix(np.full(1, sid[s], np.int64).view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+                every = np.sort(np.concatenate([token, _short(heavy, bits)]))
+                row = (int(sid[s]), size, a[own[0]], every.tobytes(), signed(np.concatenate([first, last])).tolist(), [-1] * len(first) + np.where(parts > 1, part, -1).tolist())
+                for k, v in zip(_OPEN, row, strict=True):
+                    out[k].append(v)
+                held += len(every)
+                if held > 1 << 20:
+                    yield flush()
+                    held = 0
+        if out["sid"]:
+            yield flush()
+
+    return run, "sid long, n long, vec binary, shared binary, tokens array<long>, parts array<long>"
+
+
+_OPEN = ["sid", "n", "vec", "shared", "tokens", "parts"]
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,32 +489,17 @@ def _pairs(percent: int, kind: str, turn: int = 0):
 # -- verification --------------------------------------------------------------------------
 
 
-def _set_blobs(n: int):
-    """Map: (sid, text) -> (sid, sorted set); rows whose text has another set go (an id can repeat)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sid = batch[0].to_pylist()
-            for i, _, data, offs in slices(batch[1]):
-                sets = shingle_sets(data, offs, n)
-                good = [(sid[i + k], s.tobytes()) for k, s in enumerate(sets) if set_id(s) == sid[i + k]]
-                if good:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.binary())], ["sid", "blob"])
-
-    return run, "sid long, blob binary"
-
-
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
+            for x, y, nx, ny in zip(batch["x"], batch["y"], batch["nx"].to_pylist(), batch["ny"].to_pylist(), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 small, large = (x, y) if len(x) < len(y) else (y, x)
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
-                o = int((large[at] == small).sum())
-                good.append(100 * o >= percent * (len(x) + len(y) - o))
+                o = int((large[at] == small).sum()) if len(large) else 0
+                good.append(100 * o >= percent * (nx + ny - o))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return run, "u long, v long"
@@ -409,16 +524,21 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = profile.where("n >= 0").select("doc", "sid", "n")
     classed = scratch.cut(rows.where("n > 0 AND doc IS NOT NULL").groupBy("sid").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classed")
 
-    run, schema = _prefixes(n, percent, classes, excess)
-    tokens = scratch.cut(source.where("doc IS NOT NULL").select("text").mapInArrow(run, schema), "tokens")
-    points = scratch.cut(tokens.where("part = -2").select("sid", "n", "vec").dropDuplicates(["sid"]), "points")
-    met = tokens.where("part > -2").select("token", "part", "sid").repartition("token", "part").sortWithinPartitions("token", "part")
+    bits = bucket_bits(int(cells.sum()))
+    run, schema = _send(n, percent, bits, classes)
+    sent = source.where("doc IS NOT NULL").select("text").mapInArrow(run, schema).repartition("bucket", "sid").sortWithinPartitions("bucket")
+    shared = sent.mapInArrow(_shared, "sid long, n long, a binary, b binary").repartition("sid").sortWithinPartitions("sid")
+    run, schema = _prefixes(percent, bits, classes, excess)
+    near = scratch.cut(shared.mapInArrow(run, schema), "near")
+    points = near.select("sid", "n", "vec")
+    met = near.select("sid", F.explode(F.arrays_zip("tokens", "parts")).alias("t")).select(F.col("t.tokens").alias("token"), F.col("t.parts").alias("part"), "sid")
+    met = met.repartition("token", "part").sortWithinPartitions("token", "part")
     lists = met.mapInArrow(_lists, "list long, sids array<long>")
     lists = scratch.cut(lists, "lists")
     small = lists.where("size(sids) > 1").dropDuplicates(["list"])
     members = small.union(lists.where("size(sids) = 1")).select("list", F.explode("sids").alias("sid"))
     members = scratch.cut(members, "members")
-    scratch.release(tokens, lists)
+    scratch.release(lists)
 
     def split(rows: DataFrame, everywhere) -> DataFrame:
         """Adds `sub`: 0 for lists of up to HOT_LIST sets; else a part by hash, and all parts where `everywhere`."""
@@ -430,16 +550,10 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) the ends (u, v), components so far, of those that link."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classed, "sid").select("sid", F.col("rep").alias("doc"))
-        wanted = scratch.cut(wanted, "wanted")
-        side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        blobs = source.join(side, "doc").select("sid", "text").mapInArrow(_set_blobs(n)[0], _set_blobs(n)[1]).dropDuplicates(["sid"])
-        blobs = scratch.cut(blobs, "sets")
-        both = pairs.join(blobs.select(F.col("sid").alias("b"), F.col("blob").alias("y")), "b").join(blobs.select(F.col("sid").alias("a"), F.col("blob").alias("x")), "a")
+        of = lambda sid, n, blob: near.select(F.col("sid").alias(sid), F.col("n").alias(n), F.col("shared").alias(blob))
+        both = pairs.join(of("b", "ny", "y"), "b").join(of("a", "nx", "x"), "a")
         run, schema = _verify(percent)
-        out = scratch.cut(both.select("u", "v", "x", "y").mapInArrow(run, schema), "links")
-        scratch.release(blobs)
-        return out
+        return scratch.cut(both.select("u", "v", "nx", "ny", "x", "y").mapInArrow(run, schema), "links")
 
     def grouped(rows: DataFrame, kind: str, turn: int = 0) -> DataFrame:
         run, schema = _pairs(percent, kind, turn)
@@ -495,7 +609,7 @@ def ngram_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
     gone = scratch.cut(ranked.select(row).join(stays, row, "left_anti"), "gone")
     scratch.release(ranked)
-    return numbered.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, row, "left_anti").drop(row)
+    return numbered.join(gone, row, "left_anti").drop(row)
 
 
 _W = r"[^\x20\x09-\x0D]+"

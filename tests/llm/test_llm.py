@@ -42,7 +42,7 @@ def shingles(t, n):
 @pytest.mark.parametrize("hot", [4096, 2])
 def test_ngram_classes(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_LIST", hot)
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0 if hot == 2 else 1 << 20)
+    monkeypatch.setattr(ngram_join, "BUCKET", 50 if hot == 2 else 1 << 21)  # many buckets or few
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_classes(docs, n=4, percent=85).collect())
     sets = {i: shingles(t, 4) for i, t, *_ in rows if i is not None}
     comp = {i: i for i in sets}
