@@ -35,29 +35,48 @@ def face_graph(cells: DataFrame) -> DataFrame:
     return f.groupBy("face_key").agg(F.min("elem_id").alias("a"), F.max("elem_id").alias("b")).where("a < b").select("a", "b")
 
 
-def morton(x: Column, y: Column, z: Column, bits: int = 16) -> Column:
-    """Interleaved bits of three non-negative integers."""
-    one = F.lit(1).cast("long")
+#: Masks and shifts that move the bits of a 21-bit number three places apart, a step each.
+SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+AXIS_BITS = 21
 
-    def step(acc, b):
-        bit = lambda v, axis: F.call_function("shiftleft", F.call_function("shiftright", v, b).bitwiseAND(one), 3 * b + axis)
-        return acc.bitwiseOR(bit(x, 0)).bitwiseOR(bit(y, 1)).bitwiseOR(bit(z, 2))
 
-    return F.aggregate(F.array(*[F.lit(b) for b in range(bits)]), F.lit(0).cast("long"), step)
+def morton(x: Column, y: Column, z: Column) -> Column:
+    """Interleaved bits of three integers from 0 to 2**21 - 1, by shifts and masks in generated code."""
 
+    def spread(v: Column) -> Column:
+        for by, mask in SPREAD:
+            v = v.bitwiseOR(F.shiftleft(v, by)).bitwiseAND(F.lit(mask))
+        return v
 
-def sfc_partition(centers: DataFrame, parts: int, cells_per_unit: float = 4.0) -> DataFrame:
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1)).bitwiseOR(F.shiftleft(spread(z), 2))
+
+
+def curve_codes(centers: DataFrame) -> DataFrame:
+    """(elem_id, code): Morton codes of the centres, scaled to their bounding box (one row, broadcast)."""
+    top = (1 << AXIS_BITS) - 1
+    box = centers.agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def scaled(a: str) -> Column:
+        size = F.col(f"hi_{a}") - F.col(f"lo_{a}")
+        return F.when(size > 0, F.floor((F.col(a) - F.col(f"lo_{a}")) / size * top)).otherwise(0).cast("long")
+
+    return centers.crossJoin(F.broadcast(box)).select("elem_id", morton(*[scaled(a) for a in "xyz"]).alias("code"))
+
+
+def sfc_partition(centers: DataFrame, parts: int) -> DataFrame:
     """(elem_id, part_id): equal runs along the Morton curve of the centres.
 
-    Ranks come from a count per coarse curve cell and a rank inside it, never from one global window."""
-    q = [F.floor(F.col(a) * cells_per_unit) for a in ("x", "y", "z")]
-    coded = centers.select("elem_id", morton(*q).alias("code")).withColumn("coarse", F.shiftright("code", 12))
-    size = coded.groupBy("coarse").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = size.select("coarse", before.alias("before"), total.alias("total"))
-    rank = F.row_number().over(Window.partitionBy("coarse").orderBy("code", "elem_id")) - 1
-    at = coded.withColumn("rank", rank).join(start, "coarse").withColumn("at", F.col("before") + F.col("rank"))
+    Ranks add up over three levels of the curve: at most 2**15 coarse cubes, at most 2**15 finer ones in each, and
+    the cells of a finer cube; each level counts what the next one holds, so no window holds more."""
+    fine, coarse = 3 * AXIS_BITS - 30, 3 * AXIS_BITS - 15
+    coded = curve_codes(centers).withColumn("fine", F.shiftright("code", fine)).withColumn("coarse", F.shiftright("code", coarse))
+    counts = coded.groupBy("coarse", "fine").agg(F.count("*").alias("n"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = counts.groupBy("coarse").agg(F.sum("n").alias("n")).select("coarse", earlier(Window.orderBy("coarse")).alias("outer"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    inner = counts.select("coarse", "fine", earlier(Window.partitionBy("coarse").orderBy("fine")).alias("inner"))
+    start = inner.join(F.broadcast(tops), "coarse").select("fine", (F.col("outer") + F.col("inner")).alias("before"), "total")
+    rank = F.row_number().over(Window.partitionBy("fine").orderBy("code", "elem_id")) - 1
+    at = coded.select("elem_id", "code", "fine").withColumn("rank", rank).join(start, "fine").withColumn("at", F.col("before") + F.col("rank"))
     # Runs as ntile makes them: the first total % parts runs are one longer.
     q_, r_ = F.floor(F.col("total") / parts), F.col("total") % parts
     long_ = r_ * (q_ + 1)
@@ -66,32 +85,48 @@ def sfc_partition(centers: DataFrame, parts: int, cells_per_unit: float = 4.0) -
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder (spark.checkpoint.dir; one of our own only where unset)."""
+    """df as a table in the shared folder (spark.checkpoint.dir); only a local session gets one of its own where it is unset."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='meshloom-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='meshloom-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/meshloom/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Moves of one gain into a part are admitted in this many steps, by a hash of the cell.
+STEPS = 1024
+
+
 def refine(parts: DataFrame, edges: DataFrame, n_parts: int, rounds: int = 2, imbalance: float = 1.05) -> DataFrame:
     """Label propagation that lowers the edge cut: a cell moves to the part most of its neighbours are in
     if that gains edges and the part stays within `imbalance` of the mean; moves of even and odd rounds
-    go up and down in part number, so two neighbours never swap.  Each round is written to the shared folder, which cuts lineage."""
+    go up and down in part number, so two neighbours never swap.
+
+    What a part admits is a threshold: moves are counted by gain and STEPS hash steps (at most a few
+    thousand counts a part), and the levels that fit from the highest gain on are admitted.  Each round is written
+    to the shared folder, which cuts lineage."""
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
     parts, both = _written(parts), _written(both)
+    most = F.floor(parts.agg(F.count("*")).first()[0] * F.lit(imbalance) / n_parts)
     for k in range(rounds):
         around = both.join(parts.select(F.col("elem_id").alias("b"), F.col("part_id").alias("to")), "b").groupBy("a", "to").agg(F.count("*").alias("n"))
-        mine = around.join(parts.withColumnRenamed("elem_id", "a"), "a").withColumn("own", F.max(F.when(F.col("to") == F.col("part_id"), F.col("n")).otherwise(0)).over(Window.partitionBy("a")))
-        wish = mine.where(("to > part_id" if k % 2 == 0 else "to < part_id")).withColumn("gain", F.col("n") - F.col("own")).where("gain > 0")
-        best = wish.groupBy("a", "part_id").agg(F.max(F.struct("gain", (-F.col("to")).alias("m"))).alias("x")).select("a", F.col("x.gain").alias("gain"), (-F.col("x.m")).cast("int").alias("to"))
-        sizes = parts.groupBy("part_id").agg(F.count("*").alias("size"))
-        mean = parts.agg((F.count("*") / n_parts).alias("mean"))
-        room = sizes.crossJoin(F.broadcast(mean)).select(F.col("part_id").alias("to"), F.floor(F.col("mean") * imbalance - F.col("size")).alias("room"))
-        order = F.row_number().over(Window.partitionBy("to").orderBy(F.desc("gain"), "a"))
-        moves = best.join(F.broadcast(room), "to").withColumn("r", order).where("r <= room").select(F.col("a").alias("elem_id"), F.col("to"))
-        parts = parts.join(moves, "elem_id", "left").select("elem_id", F.coalesce("to", "part_id").alias("part_id"))
-        parts = _written(parts)
+        mine = around.join(parts.withColumnRenamed("elem_id", "a"), "a").groupBy("a", "part_id").agg(
+            F.coalesce(F.max(F.when(F.col("to") == F.col("part_id"), F.col("n"))), F.lit(0)).alias("own"),
+            F.max(F.when(F.col("to") > F.col("part_id") if k % 2 == 0 else F.col("to") < F.col("part_id"), F.struct("n", (-F.col("to")).alias("m")))).alias("x"),
+        )
+        gain = F.col("x.n") - F.col("own")
+        best = mine.where(gain > 0).select(F.col("a").alias("elem_id"), (-F.col("x.m")).cast("int").alias("to"), (gain * STEPS + F.col("a") * 40503 % STEPS).alias("level"))
+        sizes = parts.groupBy(F.col("part_id").alias("to")).agg(F.count("*").alias("size"))
+        levels = best.groupBy("to", "level").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("to").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0))
+        admitted = levels.select("to", "level", upto.alias("upto")).join(sizes, "to").where(F.col("upto") + F.col("size") <= most).groupBy("to").agg(F.min("level").alias("least"))
+        moves = best.join(F.broadcast(admitted), "to").where("level >= least").select("elem_id", "to")  # one row a part
+        parts = _written(parts.join(moves, "elem_id", "left").select("elem_id", F.coalesce("to", "part_id").alias("part_id")))
     return parts
 
 

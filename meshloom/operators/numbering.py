@@ -24,6 +24,17 @@ def local_ids(nodes: DataFrame, block: int = 1 << 20) -> DataFrame:
     return blocked.withColumn("__rank", rank).join(start, ["part_id", "__block"]).select("part_id", "node_id", (F.col("__before") + F.col("__rank")).alias("local_id"))
 
 
+def ordinals(rows: DataFrame, key: str, group: str, number: str, name: str, block: int = 1 << 20) -> DataFrame:
+    """rows with `name`: the 1-based rank in `key` in the order of (group, number), counted in blocks of
+    numbers like local ids."""
+    blocked = rows.withColumn("__block", F.floor(F.col(number) / block))
+    size = blocked.groupBy(key, group, "__block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy(group, "__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = size.select(key, group, "__block", before.alias("__before"))
+    rank = F.row_number().over(Window.partitionBy(key, group, "__block").orderBy(number))
+    return blocked.withColumn("__rank", rank).join(start, [key, group, "__block"]).select(*rows.columns, (F.col("__before") + F.col("__rank")).alias(name))
+
+
 def localized(cells: DataFrame, local: DataFrame, ids: tuple[str, ...] = ("part_id", "section_id", "elem_id")) -> DataFrame:
     """Cells with node ids replaced by local ids, in order; a node without a local id drops the cell's entry."""
     each = cells.select(*ids, F.posexplode("nodes").alias("pos", "node_id")).join(local, ["part_id", "node_id"])

@@ -71,9 +71,20 @@ MC = centers_of("mixed", "mnodes", "mc") + "---"
 # -- scans -------------------------------------------------------------------------------------
 
 
-@query("SELECT (SELECT count(*) FROM sections) AS n_sections, (SELECT count(*) FROM nodes) AS n_nodes, (SELECT min(node_id) = 1 AND max(node_id) = count(*) FROM nodes) AS contiguous, (SELECT count(*) FROM sections WHERE elem_type = 17) AS n_body, true AS valid")
+_CHECK = """SELECT '{n}' AS mesh, (SELECT count(*) FROM s{n}) AS n_sections, (SELECT count(*) FROM n{n}) AS n_nodes, (SELECT coalesce(min(node_id) = 1 AND max(node_id) = count(*), false) FROM n{n}) AS contiguous,
+(SELECT count(*) FROM s{n} WHERE elem_type = 17) AS n_body, (SELECT coalesce(min(node_id) = 1 AND max(node_id) = count(*), false) FROM n{n}) AND (SELECT count(*) > 0 AND coalesce(bool_and("end" - "start" + 1 >= n_elem), true) AND count(*) FILTER (elem_type = 17) > 0 FROM s{n}) AS valid"""
+_CHECKED = """na AS (SELECT * FROM nodes), sa AS (SELECT * FROM sections), nb AS (SELECT * FROM nodes WHERE node_id != 7), sb AS (SELECT * FROM sections),
+nc AS (SELECT * FROM nodes), sc AS (SELECT * FROM sections WHERE elem_type != 17), nd AS (SELECT * FROM nodes), sd AS (SELECT * REPLACE ("end" - 1 AS "end") FROM sections),"""
+
+
+@query(_CHECKED + "--- " + " UNION ALL ".join(_CHECK.format(n=n) for n in "abcd"))
 def mesh_validate(s, d):
-    return Src.checks(mesh(s, d))
+    """The mesh, and the mesh without a node, without body sections, and with ranges that are too short."""
+    m = mesh(s, d)
+    short = m.sections.withColumn("end", F.col("end") - 1)
+    shapes = {"a": m, "b": D.Mesh(m.nodes.where("node_id != 7"), m.elements, m.sections, m.layers), "c": D.Mesh(m.nodes, m.elements, m.sections.where("elem_type != 17"), m.layers), "d": D.Mesh(m.nodes, m.elements, short, m.layers)}
+    out = [Src.checks(x).select(F.lit(n).alias("mesh"), "*") for n, x in shapes.items()]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
 @query('SELECT max("end") + 1 AS next_elem_id FROM sections')
@@ -116,9 +127,11 @@ def body_union(s, d):
     return Src.union_sections(mesh(s, d), D.BODY).withColumn("nodes", E.key_text(F.col("nodes")))
 
 
-@query("SELECT section_id, elem_id FROM elements WHERE section_id IN (1, 2) AND elem_id BETWEEN 51 AND 150")
+@query("SELECT section_id, 51 + row_number() OVER (ORDER BY section_id, elem_id) - 1 AS elem_id, array_to_string(nodes, '-') AS nodes FROM elements WHERE section_id IN (1, 2, 5) AND elem_id BETWEEN 51 AND 150")
 def body_range_union(s, d):
-    return Src.union_sections(mesh(s, d), D.BODY, 51, 150).select("section_id", "elem_id")
+    """Ids start at the range's start again."""
+    got = Src.renumbered(Src.union_sections(mesh(s, d), (1, 2, 5), 51, 150), 51)
+    return got.select("section_id", "elem_id", E.key_text(F.col("nodes")).alias("nodes"))
 
 
 @query("""SELECT left(string_agg(name, '_' ORDER BY section_id), 31) AS name, CASE WHEN count(DISTINCT elem_type) > 1 THEN 20 ELSE min(elem_type) END AS elem_type, min("start") AS "start", max("end") AS "end" FROM sections WHERE section_id IN (1, 2, 3)""")
@@ -157,8 +170,7 @@ _LOCAL = "le AS (SELECT part_id, section_id, elem_id, unnest(nodes) AS node_id,
 def out_elements(s, d):
     c = default_cut(s, d)
     got = N.localized(c.cells, c.local)
-    seq = F.row_number().over(Window.partitionBy("part_id").orderBy("section_id", "elem_id"))
-    return got.select("part_id", "section_id", seq.alias("out_id"), E.key_text(F.col("nodes")).alias("nodes"))
+    return N.ordinals(got, "part_id", "section_id", "elem_id", "out_id").select("part_id", "section_id", "out_id", E.key_text(F.col("nodes")).alias("nodes"))
 
 
 @query("SELECT part_id, section_id, sum(n) OVER (PARTITION BY section_id) AS global_number, coalesce(sum(n) OVER (PARTITION BY section_id ORDER BY part_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS global_start, sum(n) OVER (PARTITION BY section_id ORDER BY part_id ROWS UNBOUNDED PRECEDING) AS global_end FROM sizes WHERE section_id < 3", cut=True)
@@ -416,10 +428,18 @@ def interfaces(s, d):
     return wound(default_cut(s, d).interfaces)
 
 
-@query("SELECT part_id, nbr_id, face_key FROM iface", cut=True)
+# Cells are dealt to five boxes in a row by id, so boxes that aren't neighbours share faces too.
+_SLABS = """sl AS MATERIALIZED (SELECT elem_id, nodes, elem_type, ((elem_id // 7) % 5)::INT AS part_id FROM elements WHERE section_id IN (1, 2)),
+sf AS (SELECT part_id, array_to_string(list_sort(f), '-') AS face_key FROM (SELECT part_id, unnest(""" + faces_sql() + """) AS f FROM sl)),
+so AS MATERIALIZED (SELECT part_id, face_key FROM sf GROUP BY part_id, face_key HAVING count(*) % 2 = 1),"""
+
+
+@query(_SLABS + "--- SELECT a.part_id, b.part_id AS nbr_id, a.face_key FROM so a JOIN so b ON a.face_key = b.face_key AND abs(a.part_id - b.part_id) = 1")
 def interfaces_cartesian(s, d):
-    near = C.neighbours(s, 2, 2, 2)
-    return text_key(default_cut(s, d).interfaces).join(near, ["part_id", "nbr_id"]).select("part_id", "nbr_id", "face_key")
+    """Five boxes in a row (1 x 1 x 5): faces that boxes two or more apart share are left out."""
+    cells = body(mesh(s, d)).withColumn("part_id", (F.floor(F.col("elem_id") / 7) % 5).cast("int"))
+    near = C.neighbours(s, 1, 1, 5)
+    return text_key(T.interfaces(T.outer_faces(cells))).join(F.broadcast(near), ["part_id", "nbr_id"]).select("part_id", "nbr_id", "face_key")
 
 
 @query("SELECT part_id, face_key FROM openf o WHERE NOT EXISTS (SELECT 1 FROM iface i WHERE i.part_id = o.part_id AND i.face_key = o.face_key)", cut=True)
@@ -513,20 +533,38 @@ def cut_cartesian_summary(s, d):
 
 QUERIES["cut_cartesian"], ORACLES["cut_cartesian"] = QUERIES.pop("cut_cartesian_summary"), ORACLES.pop("cut_cartesian_summary")
 
-_BITS = " | ".join(f"((({v} >> {b}) & 1) << {3 * b + a})" for b in range(16) for a, v in enumerate(("qx", "qy", "qz")))
+_BITS = " | ".join(f"((({v} >> {b}) & 1) << {3 * b + a})" for b in range(21) for a, v in enumerate(("qx", "qy", "qz")))
+_SCALED = ", ".join(f"CASE WHEN max({a}) OVER () > min({a}) OVER () THEN floor(({a} - min({a}) OVER ()) / (max({a}) OVER () - min({a}) OVER ()) * 2097151)::BIGINT ELSE 0 END AS q{a}" for a in "xyz")
+_CURVE = f"qz0 AS (SELECT elem_id, {_SCALED} FROM ctr), sfc AS MATERIALIZED (SELECT elem_id, (ntile(8) OVER (ORDER BY {_BITS}, elem_id) - 1)::INT AS part_id FROM qz0),"
 
 
-@query(f"qz0 AS (SELECT elem_id, floor(x * 4)::BIGINT AS qx, floor(y * 4)::BIGINT AS qy, floor(z * 4)::BIGINT AS qz FROM ctr), --- SELECT elem_id, (ntile(8) OVER (ORDER BY {_BITS}, elem_id) - 1)::INT AS part_id FROM qz0", cut=True)
+@query(_CURVE + "--- SELECT elem_id, part_id FROM sfc", cut=True)
 def sfc_partition(s, d):
     m = mesh(s, d)
     return Gr.sfc_partition(T.centers(body(m), m.nodes), 8)
 
 
-def _graph(s, d) -> DataFrame:
+_EDGES = "fe AS (SELECT min(elem_id) AS a, max(elem_id) AS b FROM (SELECT elem_id, array_to_string(list_sort(face_nodes), '-') AS k FROM pf) GROUP BY k HAVING count(*) = 2), be AS MATERIALIZED (SELECT a, b FROM fe UNION ALL SELECT b, a FROM fe),"
+
+
+def _round_sql(k: int) -> str:
+    """One round of the refinement, from table g{k} to g{k + 1}."""
+    way = "<" if k % 2 else ">"
+    return f"""
+ar{k} AS (SELECT e.a, p.part_id AS dest, count(*) AS n FROM be e JOIN g{k} p ON p.elem_id = e.b GROUP BY e.a, p.part_id),
+mi{k} AS (SELECT r.a, p.part_id, coalesce(max(r.n) FILTER (r.dest = p.part_id), 0) AS own, arg_max(r.dest, r.n * 1000 - r.dest) FILTER (r.dest {way} p.part_id) AS dest, max(r.n) FILTER (r.dest {way} p.part_id) AS n FROM ar{k} r JOIN g{k} p ON p.elem_id = r.a GROUP BY r.a, p.part_id),
+bs{k} AS (SELECT a, dest, (n - own) * 1024 + a * 40503 % 1024 AS level FROM mi{k} WHERE n > own),
+lv{k} AS (SELECT dest, level, sum(count(*)) OVER (PARTITION BY dest ORDER BY level DESC) AS upto FROM bs{k} GROUP BY dest, level),
+ad{k} AS (SELECT dest, min(level) AS least FROM lv{k} JOIN (SELECT part_id, count(*) AS size FROM g{k} GROUP BY part_id) z ON z.part_id = dest WHERE upto + size <= floor((SELECT count(*) FROM g{k}) * 1.05::DOUBLE / 8) GROUP BY dest),
+g{k + 1} AS MATERIALIZED (SELECT p.elem_id, coalesce(m.dest, p.part_id) AS part_id FROM g{k} p LEFT JOIN (SELECT a, b.dest FROM bs{k} b JOIN ad{k} d ON d.dest = b.dest AND level >= least) m ON m.a = p.elem_id),"""
+
+
+@query(_CURVE + _EDGES + "g0 AS (SELECT * FROM sfc)," + _round_sql(0) + _round_sql(1) + "--- SELECT elem_id, part_id FROM g2", cut=True)
+def cut_graph_parts(s, d):
     return cut_graph(mesh(s, d), 8).cells.select("elem_id", "part_id")
 
 
-QUERIES["cut_graph"] = _graph
+QUERIES["cut_graph"], ORACLES["cut_graph"] = QUERIES.pop("cut_graph_parts"), ORACLES.pop("cut_graph_parts")
 
 
 @query("SELECT elem_id, unnest(range(len(nodes)))::INT AS pos, unnest(nodes) - 1 AS node0 FROM mixed")
@@ -597,7 +635,7 @@ def _residuals(s, d) -> DataFrame:
     return e.groupBy(F.floor(F.unix_timestamp("ts") / 3600).alias("step"), F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
 
 
-@query("SELECT metric, round(first_value, 6) AS first_value, round(last_value, 6) AS last_value, round(least_value, 6) AS least_value, n_steps FROM (SELECT metric, arg_min(value, step) AS first_value, arg_max(value, step) AS last_value, min(value) AS least_value, count(*) AS n_steps FROM (SELECT epoch(ts)::BIGINT // 3600 AS step, event_type AS metric, avg(value) AS value FROM events GROUP BY 1, 2) GROUP BY metric)", raw=True)
+@query("SELECT metric, round(first_value, 6) AS first_value, round(last_value, 6) AS last_value, round(least_value, 6) AS least_value, n_steps FROM (SELECT metric, arg_min(value, step) AS first_value, arg_max(value, step) AS last_value, min(value) AS least_value, count(*) AS n_steps FROM (SELECT floor(epoch(ts))::BIGINT // 3600 AS step, event_type AS metric, avg(value) AS value FROM events GROUP BY 1, 2) GROUP BY metric)", raw=True)
 def residual_convergence(s, d):
     return Mon.convergence(_residuals(s, d)).select("metric", *six("first_value", "last_value", "least_value"), "n_steps")
 
@@ -607,17 +645,17 @@ def run_stats(s, d):
     return table(s, d, "part").groupBy("p_type", "p_brand").agg(F.round(F.avg("p_retailprice"), 4).alias("mean"), F.round(F.stddev_pop("p_retailprice"), 4).alias("deviation"), F.count("*").alias("runs"))
 
 
-@query()
+@query("SELECT step, (row_number() OVER (PARTITION BY step ORDER BY metric) - 1)::INT AS metric, round(value, 6) AS value FROM (SELECT st.step, me.metric, coalesce(v.value, 0.0) AS value FROM (SELECT DISTINCT floor(epoch(ts))::BIGINT // 3600 AS step FROM events) st CROSS JOIN (SELECT DISTINCT event_type AS metric FROM events) me LEFT JOIN (SELECT floor(epoch(ts))::BIGINT // 3600 AS step, event_type AS metric, avg(value) AS value FROM events GROUP BY 1, 2) v ON v.step = st.step AND v.metric = me.metric)", raw=True)
 def residual_parse(s, d):
     """The series written out as a residual log and parsed back."""
     body_ = _residuals(s, d).groupBy("step").pivot("metric").agg(F.first("value")).na.fill(0.0)
     metrics = [c for c in body_.columns if c != "step"]
     lines = body_.select("step", F.posexplode(F.array(F.col("step").cast("string"), *[F.col(c).cast("string") for c in metrics])).alias("pos", "value"))
     lines = lines.select((F.col("step") * (len(metrics) + 1) + F.col("pos") + 2).alias("line_no"), "value").union(E.constant_table(s, [(0, "# Residual"), (1, "# Step " + " ".join(metrics))], "line_no bigint, value string"))
-    return Src.parse_residuals(lines, len(metrics) + 1)
+    return Src.parse_residuals(lines, len(metrics) + 1).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query("SELECT elem_id // 60 AS stream, (row_number() OVER (PARTITION BY elem_id // 60 ORDER BY elem_id) - 1)::INT AS pos, elem_type, array_to_string(nodes, '-') AS nodes FROM mixed")
 def mixed_decode(s, d):
     cells = mixed(s, d)[0]
     flat = cells.select(F.floor(F.col("elem_id") / 60).alias("stream"), "elem_id", F.concat(F.array(F.col("elem_type").cast("long")), F.col("nodes")).alias("x"))
@@ -625,6 +663,8 @@ def mixed_decode(s, d):
     return Src.mixed_decode(streams, "stream", "data").withColumn("nodes", E.key_text(F.col("nodes")))
 
 
-@query()
+@query("SELECT p_partkey AS step, p_size / 16.0::DOUBLE AS gb FROM part", raw=True)
 def mem_series(s, d):
-    return Mon.memory_samples(s, 120, lambda step: F.round(F.lit(1.5) + step / 100.0, 3))
+    """A memory log, made of the part table's lines, read as a series."""
+    lines = table(s, d, "part").select(F.concat_ws(" ", F.col("p_partkey").cast("string"), (F.col("p_size") / 16.0).cast("string")).alias("value"))
+    return Mon.memory_log(lines.union(E.constant_table(s, [("#Residual",), ("# Step Mem(Gb)",), ("",)], "value string")))

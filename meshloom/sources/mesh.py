@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,13 @@ class MeshError(ValueError):
 
 def write_mesh(mesh: Mesh, path: str, mode: str = "errorifexists") -> None:
     """Parquet tables sorted by id, elements split by section: range reads prune by statistics, section reads by folder.
-    mode "append" adds to a mesh that is there."""
+    mode "append" adds sections to a mesh that is there; their element ids go on after the largest one there."""
+    if mode == "append":
+        spark = mesh.nodes.sparkSession
+        have = read_mesh(spark, path, validate=False).sections.agg((F.max("end") + 1).alias("next")).first()["next"] or 1
+        by = F.lit(have) - F.lit(mesh.sections.agg(F.min("start")).first()[0] or 1)
+        moved = mesh.sections.withColumn("start", F.col("start") + by).withColumn("end", F.col("end") + by)
+        mesh = Mesh(mesh.nodes, mesh.elements.withColumn("elem_id", F.col("elem_id") + by), moved, mesh.layers)
     mesh.nodes.repartitionByRange("node_id").sortWithinPartitions("node_id").write.mode(mode).parquet(f"{path}/nodes")
     mesh.elements.repartitionByRange("section_id", "elem_id").sortWithinPartitions("section_id", "elem_id").write.mode(mode).partitionBy("section_id").parquet(f"{path}/elements")
     mesh.sections.write.mode(mode).parquet(f"{path}/sections")
@@ -50,11 +56,20 @@ def check(mesh: Mesh) -> None:
         raise MeshError(f"not a mesh of one 3-D zone: {row.asDict()}")
 
 
-def check_options(np: int, nx: int = 0, ny: int = 0, nz: int = 0) -> None:
+def check_options(np: int, nx: int = 0, ny: int = 0, nz: int = 0, multizone: bool = False, fluid: tuple[str, ...] = ()) -> None:
     if np < 2:
         raise MeshError("at least two parts are needed")
     if nx and np != nx * ny * nz:
         raise MeshError("np must be nx * ny * nz")
+    if multizone and not fluid:
+        raise MeshError("a mesh of several zones needs the names of its fluid sections")
+
+
+def check_names(mesh: Mesh, fluid: tuple[str, ...] = (), interior: str | None = None) -> None:
+    """Sections that the options name must be there."""
+    for what, pattern in [("fluid", p) for p in fluid] + ([("interior", interior)] if interior else []):
+        if mesh.sections.where(S.matches(F.col("name"), pattern)).isEmpty():
+            raise MeshError(f"no {what} section matches {pattern}")
 
 
 def node_range(mesh: Mesh, low: int, high: int) -> DataFrame:
@@ -67,11 +82,21 @@ def section(mesh: Mesh, section_id: int, low: int | None = None, high: int | Non
 
 
 def union_sections(mesh: Mesh, ids: tuple[int, ...], low: int | None = None, high: int | None = None) -> DataFrame:
-    """Elements of several sections; with a range, sections that don't overlap it aren't read."""
+    """Elements of several sections; with a range, sections whose header doesn't overlap it aren't read."""
+    if low is not None:  # headers are a few rows
+        ids = tuple(r.section_id for r in mesh.sections.where(F.col("section_id").isin(*ids) & (F.col("start") <= high) & (F.col("end") >= low)).select("section_id").collect())
     out = mesh.elements.where(F.col("section_id").isin(*ids))
     return out if low is None else out.where(F.col("elem_id").between(low, high))
 
 
+def renumbered(elements: DataFrame, start: int) -> DataFrame:
+    """Elements of a union with ids from `start` on, in the order of section and id."""
+    from ..operators.numbering import ordinals
+
+    numbered = ordinals(elements.withColumn("__all", F.lit(0)), "__all", "section_id", "elem_id", "__rank")
+    return numbered.select(*[(F.col("__rank") + (start - 1)).alias("elem_id") if c == "elem_id" else F.col(c) for c in elements.columns])
+
+
 def union_header(sections: DataFrame, ids: tuple[int, ...]) -> DataFrame:
     """(name, elem_type, start, end) of a union: MIXED if types differ."""
     s = sections.where(F.col("section_id").isin(*ids))
@@ -107,28 +132,71 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mixed_decode(streams: DataFrame, key: str, data: str) -> DataFrame:
-    """(key, pos, elem_type, nodes) of MIXED streams (type, nodes, type, nodes, ...): a fold over each
-    stream's array; an unknown type raises."""
-    arity = F.create_map(*[F.lit(v) for code, _, dim, n in E.TYPES if dim >= 2 for v in (code, n)])
-    start = F.struct(F.lit(0).alias("left"), F.array().cast("array<struct<t:bigint,n:array<bigint>>>").alias("out"))
-
-    def step(acc, v):
-        known = F.coalesce(F.try_element_at(arity, v.cast("int")), F.raise_error(F.concat(F.lit("unknown element type "), v.cast("string"))).cast("int"))
-        opened = F.struct(known.alias("left"), F.concat(acc["out"], F.array(F.struct(v.alias("t"), F.array().cast("array<bigint>").alias("n")))).alias("out"))
-        last = F.element_at(acc["out"], -1)
-        grown = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.struct(last["t"].alias("t"), F.concat(last["n"], F.array(v)).alias("n"))))
-        return F.when(acc["left"] == 0, opened).otherwise(F.struct((acc["left"] - 1).alias("left"), grown.alias("out")))
-
-    return streams.select(key, F.posexplode(F.aggregate(F.col(data), start, step)["out"]).alias("pos", "e")).select(key, "pos", F.col("e.t").cast("int").alias("elem_type"), F.col("e.n").alias("nodes"))
-
-
-def parse_residuals(lines: DataFrame, width: int = 5) -> DataFrame:
-    """lines(value, line_no) of a residual log -> (step, metric, value): after two header lines, records of
-    `width` lines (step, then values); a record cut short at the end gives what it has of whole records only."""
-    body = lines.where(~F.col("value").startswith("#") & (S.trim(F.col("value")) != "")).withColumn("r", F.row_number().over(Window.orderBy("line_no")) - 1)
-    record = body.groupBy(F.floor(F.col("r") / width).alias("rec")).agg(F.sort_array(F.collect_list(F.struct("r", F.trim("value").alias("v")))).alias("x")).where(F.size("x") == width)
-    value = F.when(F.lower("v.v").isin("inf", "+inf"), F.lit(float("inf"))).otherwise(F.expr("try_cast(v.v AS double)"))
-    return record.select(F.col("x")[0]["v"].cast("long").alias("step"), F.posexplode(F.slice("x", 2, width - 1)).alias("metric", "v")).select("step", "metric", value.alias("value"))
+    """(key, pos, elem_type, nodes) of MIXED streams (type, nodes, type, nodes, ...); null or empty streams have
+    no rows, an unknown type or a stream that ends early raises.
+
+    Where a cell starts depends on all cells before it, so each stream is walked once, cell by cell, over Arrow
+    batches; nodes are slices of the stream."""
+    import pyarrow as pa
+
+    arity = {code: n for code, _, dim, n in E.TYPES if dim >= 2}
+    kind = streams.schema[key].dataType.simpleString()
+
+    def walk(batches):
+        for batch in batches:
+            rows, pos, types, at, size = [], [], [], [], []
+            column = batch.column(1)
+            values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            for r in range(batch.num_rows):
+                i, end, k = int(offsets[r]), int(offsets[r + 1]), 0
+                while i < end and column[r].is_valid:
+                    n = arity.get(int(values[i]))
+                    if n is None or i + 1 + n > end:
+                        raise ValueError(f"unknown element type {values[i]}" if n is None else "stream ends inside a cell")
+                    rows.append(r)
+                    pos.append(k)
+                    types.append(int(values[i]))
+                    at.append(i + 1)
+                    size.append(n)
+                    i, k = i + 1 + n, k + 1
+            nodes = pa.array([values[a : a + n] for a, n in zip(at, size, strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pos, pa.int32()), pa.array(types, pa.int32()), nodes], [key, "pos", "elem_type", "nodes"])
+
+    return streams.select(key, F.col(data).cast("array<bigint>").alias(data)).mapInArrow(walk, f"`{key}` {kind}, pos int, elem_type int, nodes array<bigint>")
+
+
+def _value(text):
+    """A number of a log; "inf" is legal, anything else that is no number is null."""
+    return F.when(F.lower(text).isin("inf", "+inf"), F.lit(float("inf"))).otherwise(text.try_cast("double"))
+
+
+def parse_residuals(lines: DataFrame, width: int = 5, block: int = 1 << 16) -> DataFrame:
+    """lines(value, line_no) of a residual log -> (step, metric, value): comment and blank lines go, then come
+    records of `width` lines (step, then values); a record cut short at the end goes.  Lines are numbered in
+    blocks, so a log spreads over tasks."""
+    body = lines.where(~F.col("value").startswith("#") & (S.trim(F.col("value")) != "")).withColumn("b", F.floor(F.col("line_no") / block))
+    size = body.groupBy("b").agg(F.count("*").alias("n"))
+    before = size.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for 65,536 lines
+    r = F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("line_no")) - 1
+    body = body.join(before, "b").withColumn("r", r)
+    record = body.groupBy(F.floor(F.col("r") / width).alias("rec")).agg(F.sort_array(F.collect_list(F.struct("r", S.trim(F.col("value")).alias("v")))).alias("x")).where(F.size("x") == width)
+    return record.select(F.col("x")[0]["v"].cast("long").alias("step"), F.posexplode(F.slice("x", 2, width - 1)).alias("metric", "v")).select("step", "metric", _value(F.col("v.v")).alias("value"))
+
+
+def residual_records(text: Column) -> Column:
+    """Array of (step, metric, value) of a whole residual log as one string: line 2 names the columns, records
+    have a line for the step and one for each metric; what is cut short at the end goes."""
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), S.trim), lambda x: x != "")
+    names = F.filter(F.split(F.get(F.filter(lines, lambda x: x.startswith("#")), F.lit(1)), r"\s+"), lambda x: ~x.isin("#", "Step", "#Step"))
+    body = F.filter(lines, lambda x: ~x.startswith("#"))
+    width = F.size(names) + 1
+    count = F.floor(F.size(body) / F.greatest(width, F.lit(1))).cast("int")
+
+    def record(r):
+        at = r * width
+        return F.transform(names, lambda name, k: F.struct(F.get(body, at).try_cast("long").alias("step"), name.alias("metric"), _value(F.get(body, at + 1 + k)).alias("value")))
+
+    return F.when(count > 0, F.flatten(F.transform(F.sequence(F.lit(0), count - 1), record)))
 
 
 def write_parts(part_tables: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:

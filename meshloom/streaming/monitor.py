@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.mesh import residual_records
+
 
 def convergence(series: DataFrame) -> DataFrame:
     """series(step, metric, value) -> per metric: first and last value, least value, drop (first / last)."""
@@ -13,11 +15,10 @@ def convergence(series: DataFrame) -> DataFrame:
 
 
 def watch(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of (step, metric, value) from residual files appearing in a folder, one line a value:
-    `step metric value`."""
-    lines = spark.readStream.text(folder)
-    p = F.split(F.trim("value"), r"\s+")
-    return lines.where(~F.col("value").startswith("#")).select(p[0].cast("long").alias("step"), p[1].alias("metric"), p[2].cast("double").alias("value")).where("step IS NOT NULL")
+    """A stream of (step, metric, value) from residual logs appearing in a folder, in the solvers' layout: a title,
+    the column names, then a line for the step and one for each value."""
+    logs = spark.readStream.text(folder, wholetext=True)
+    return logs.select(F.explode(residual_records(F.col("value"))).alias("r")).select("r.*").where("step IS NOT NULL")
 
 
 def watch_until_idle(stream: DataFrame, name: str, checkpoint: str, refresh: str = "1 second", idle_rounds: int = 3):
@@ -40,6 +41,32 @@ def watch_until_idle(stream: DataFrame, name: str, checkpoint: str, refresh: str
     return q
 
 
-def memory_samples(spark: SparkSession, seconds: int, gigabytes) -> DataFrame:
-    """(step, gb): a 1 Hz series, gigabytes a column expression of `step`."""
-    return spark.range(1, seconds + 1).select(F.col("id").alias("step"), gigabytes(F.col("id")).alias("gb"))
+def memory_log(lines: DataFrame) -> DataFrame:
+    """lines(value) of a memory log -> (step, gb): header lines start with #, then come `step gigabytes`."""
+    p = F.split(F.trim("value"), r"\s+")
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    return rows.select(p[0].try_cast("long").alias("step"), F.get(p, 1).try_cast("double").alias("gb")).where("step IS NOT NULL")
+
+
+def resident_gb(pid: int) -> float | None:
+    """Resident memory of a process in GB; None once it has ended."""
+    try:
+        with open(f"/proc/{pid}/status") as f:
+            return next((int(line.split()[1]) / 1e6 for line in f if line.startswith("VmRSS:")), None)
+    except OSError:
+        return None
+
+
+def sample_memory(pid: int, path: str, every: float = 1.0, most: int | None = None) -> int:
+    """Writes a memory log of a process on this machine, a line each `every` seconds, until it ends; lines written."""
+    import time
+
+    step = 0
+    with open(path, "w") as f:
+        f.write("#Residual\n# Step Mem(Gb)\n")
+        while (most is None or step < most) and (gb := resident_gb(pid)) is not None:
+            step += 1
+            f.write(f"{step} {gb:.6f}\n")
+            f.flush()
+            time.sleep(every)
+    return step

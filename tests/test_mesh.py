@@ -7,7 +7,8 @@ from meshloom.functions import strings as S
 from meshloom.operators import cartesian as C
 from meshloom.operators import topology as T
 from meshloom.plans import derive as D
-from meshloom.plans.cut import cut_cartesian
+from meshloom.operators import graph as Gr
+from meshloom.plans.cut import cut_cartesian, cut_files, cut_graph
 from meshloom.sources import mesh as Src
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +86,79 @@ def test_options_are_checked():
     for bad in ((1,), (4, 2, 2, 2)):
         with pytest.raises(Src.MeshError):
             Src.check_options(*bad)
+
+
+def test_cut_and_write_round_trip(spark, mesh, tmp_path):
+    src, out = str(tmp_path / "m"), str(tmp_path / "parts")
+    Src.write_mesh(mesh, src)
+    cut_files(spark, src, out, 4, nx=2, ny=2, nz=1, multizone=True, fluid=("^fluid",), interior="interior")
+    read = lambda t: spark.read.parquet(f"{out}/{t}")
+    sections = {(r.part_id, r.write_seq): r for r in read("sections").collect()}
+    for p in range(4):
+        own = [r for k, r in sorted(sections.items()) if k[0] == p]
+        # Fluid first, then solid, boundary, interior, interfaces; contiguous ids from 1.
+        kinds = [next(i for i, x in enumerate(("FLUID", "SOLID", "INLET|OUTLET|WALL", "INTERIOR", "Interface")) if any(r.name.startswith(y) for y in x.split("|"))) for r in own]
+        assert kinds == sorted(kinds) and kinds[0] == 0 and kinds[-1] == 4
+        assert [r.start for r in own] == [1, *[r.end + 1 for r in own[:-1]]]
+    # Local connectivity points at the same global nodes as the mesh.
+    nodes = {(r.part_id, r.local_id): r.node_id for r in read("nodes").collect()}
+    body = [tuple(nodes[r.part_id, n] for n in r.nodes) for r in read("elements").where("elem_type = 17").collect()]
+    assert sorted(body) == sorted(tuple(r.nodes) for r in mesh.elements.where("elem_type = 17").collect())
+    for r in read("elements").groupBy("part_id", "write_seq").agg(F.min("elem_id").alias("a"), F.max("elem_id").alias("b"), F.count("*").alias("n")).collect():
+        s = sections[r.part_id, r.write_seq]
+        assert (r.a, r.b, r.n) == (s.start, s.end, s.end - s.start + 1)
+    for bad in ({"np": 1}, {"np": 5, "nx": 2, "ny": 2, "nz": 1}, {"np": 2, "method": "graph", "fluid": ("nothing",)}, {"np": 2, "method": "other"}, {"np": 2, "method": "graph", "multizone": True}):
+        with pytest.raises(Src.MeshError):
+            cut_files(spark, src, str(tmp_path / "bad"), **bad)
+
+
+def test_refinement_lowers_the_edge_cut_and_keeps_balance(mesh, spark):
+    edges = Gr.face_graph(mesh.elements.where("elem_type = 17"))
+    cut = {k: cut_graph(mesh, 6, rounds=k).cells.select("elem_id", "part_id") for k in (0, 4)}
+    cost = {k: Gr.edge_cut(edges, v).first().edge_cut for k, v in cut.items()}
+    assert cost[4] < cost[0] and Gr.balance(cut[4]).first().imbalance <= 1.05
+    assert cut[4].count() == cut[4].distinct().count() == 200
+
+
+def test_curve_takes_any_coordinates(spark):
+    far = spark.createDataFrame([(i, -1e6 + 1e5 * (i % 8), 3e7 + i // 8, -5.0) for i in range(64)], "elem_id long, x double, y double, z double")
+    codes = [r.code for r in Gr.curve_codes(far).collect()]
+    assert len(set(codes)) == 64 and min(codes) >= 0
+    sizes = [r["count"] for r in Gr.sfc_partition(far, 5).groupBy("part_id").count().collect()]
+    assert sorted(sizes) == [12, 13, 13, 13, 13]
+
+
+def test_append_goes_on_after_the_largest_id(spark, mesh, tmp_path):
+    path = str(tmp_path / "m")
+    Src.write_mesh(mesh, path)
+    top = mesh.sections.agg(F.max("end")).first()[0]
+    one = Src.section(mesh, 4)
+    extra = D.Mesh(mesh.nodes.limit(0), one.withColumn("section_id", F.lit(7)), mesh.sections.where("section_id = 4").withColumn("section_id", F.lit(7)), mesh.layers)
+    Src.write_mesh(extra, path, "append")
+    got = Src.read_mesh(spark, path).elements.where("section_id = 7").agg(F.min("elem_id"), F.max("elem_id")).first()
+    assert tuple(got) == (top + 1, top + 100)
+    assert [r.elem_id for r in Src.renumbered(Src.union_sections(mesh, (3, 4), 1, 10**6), 11).orderBy("elem_id").collect()] == list(range(11, 211))
+
+
+def test_residual_stream_and_memory_log(spark, tmp_path):
+    from meshloom.streaming import monitor
+
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a").write_text("# Residual\n# Step A B\n1\ninf\n2.5\n2\n1.0\n0.5\n3\n")
+    q = monitor.watch(spark, str(tmp_path / "logs")).writeStream.format("memory").queryName("residuals").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(60)
+    got = {tuple(r) for r in spark.table("residuals").collect()}
+    assert got == {(1, "A", float("inf")), (1, "B", 2.5), (2, "A", 1.0), (2, "B", 0.5)}
+    import os
+
+    assert monitor.sample_memory(os.getpid(), str(tmp_path / "mem"), every=0.01, most=3) == 3
+    rows = monitor.memory_log(spark.read.text(str(tmp_path / "mem"))).collect()
+    assert sorted(r.step for r in rows) == [1, 2, 3] and all(r.gb > 0.01 for r in rows)
+
+
+def test_mixed_streams_that_are_damaged(spark):
+    ok = spark.createDataFrame([(1, [5, 1, 2, 3]), (2, []), (3, None)], "s int, d array<long>")
+    assert [tuple(r) for r in Src.mixed_decode(ok, "s", "d").collect()] == [(1, 0, 5, [1, 2, 3])]
+    for bad in ([99, 1], [5, 1, 2]):
+        with pytest.raises(Exception, match="unknown element type|ends inside"):
+            Src.mixed_decode(spark.createDataFrame([(1, bad)], "s int, d array<long>"), "s", "d").collect()
