@@ -6,9 +6,14 @@ container or in one of the page's furniture (navigation, adverts, comments, by t
 words), and whether it is a heading, list item or paragraph.  A decision tree, trained on the small
 labelled table of `html_training`, says which blocks are main text.
 
+Furniture by a class word is inherited until an <article> or <main> inside (a layout wrapper says "sidebar"
+too); furniture by tag, role or a comment word is inherited throughout.  Words that a class negates or only mentions
+(has-, with-, no-, without-) are no mark.
+
 Defined results: null or blank html has no text; markup cut short (an open comment, script or tag at
-the end) takes the rest of the page with it; unknown entities stay as written; ids may be null or
-repeat; pages without a container are judged on words and links alone; other columns are ignored.
+the end) takes the rest of the page with it; a link that isn't closed ends with the block element it
+stands in; unknown entities stay as written; ids may be null or repeat; pages without a container are
+judged on words and links alone; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ FURNITURE_WORDS = frozenset(
     "newsletter subscribe subscription signup login sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist "
     "disqus respond reply replies share sharing social related recommended recommendations popular trending popup modal overlay search pagination pager copyright widget widgets legal toc skip".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
+MENTIONS = ("has-", "has_", "with-", "with_", "no-", "no_", "without-", "without_")
 ARTICLE_WORDS = frozenset("article content post entry story articlebody maincontent main body-text".split())
 CLASS = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -60,35 +67,36 @@ class Block:
     tag: str
 
 
-def _zone(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
-    """Whether an element opens an article container, and whether it is furniture."""
+def _zone(tag: str, attributes: str, article: bool) -> tuple[bool, int]:
+    """Whether an element opens an article container, and whether it is furniture: 0 not, 1 by a class
+    word, 2 by its tag, role or as comments."""
     if tag in FURNITURE_TAGS or (tag == "header" and not article):
-        return False, True
+        return False, 2
     found = tag in ("article", "main")
     if "=" in attributes:
         for m in CLASS.finditer(attributes):
             value = m[1] or m[2] or m[3] or ""
-            parts = {p.lower() for p in PIECE.findall(value)}
+            parts = {p.lower() for name in value.split() if not name.lower().startswith(MENTIONS) for p in PIECE.findall(name)}
             if tag not in ("body", "html", "article", "main") and (parts & FURNITURE_WORDS or value.lower() in FURNITURE_ROLES):
-                return False, True
+                return False, 2 if parts & COMMENT_WORDS or value.lower() in FURNITURE_ROLES else 1
             found = found or bool(parts & ARTICLE_WORDS)
-    return found, False
+    return found, 0
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
-    article = furniture = False
+    stack: list[tuple[str, bool, int]] = []
+    article, furniture = False, 0
     pieces: list[str] = []
     plain: list[str] = []
-    link, tag_now, at = 0, "", 0
+    link, tag_now, at = 0, "", 0  # link: 1 + open block elements where the link began
 
     def close() -> None:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(words, len("".join(plain).split())), article, furniture, tag_now))
+                out.append(Block(text, words, min(words, len("".join(plain).split())), article, furniture > 0, tag_now))
             pieces.clear()
             plain.clear()
 
@@ -109,7 +117,7 @@ def blocks(page: str) -> list[Block]:
         if name == "br":
             pieces.append(" ")
         elif name == "a":
-            link = 0 if ends else 1
+            link = 0 if ends else 1 + len(stack)
             if link:
                 plain.append(" ")
         if name not in BLOCKS:
@@ -119,6 +127,8 @@ def blocks(page: str) -> list[Block]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
+                    if link > 1 + k:  # opened inside
+                        link = 0
                     break
         else:
             if name in ("p", "li") or name in HEADINGS:  # these end an open paragraph
@@ -127,10 +137,11 @@ def blocks(page: str) -> list[Block]:
                 if name == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
             if name not in VOID:
-                inside = stack[-1] if stack else ("", False, False)
+                inside = stack[-1] if stack else ("", False, 0)
                 opens, bad = _zone(name, m[4] or "", inside[1])
-                stack.append((name, inside[1] or opens, inside[2] or bad))
-        top = stack[-1] if stack else ("", False, False)
+                kept = 0 if inside[2] == 1 and name in ("article", "main") else inside[2]
+                stack.append((name, inside[1] or opens, max(kept, bad)))
+        top = stack[-1] if stack else ("", False, 0)
         tag_now, article, furniture = top
     say(page[at:])
     close()
