@@ -4,7 +4,7 @@ The global histogram has each length that occurs, so it grows with the lengths t
 the documents.  Dynamic programming (by divide and conquer, as the best last boundary never moves back
 when lengths grow) picks the bucket boundaries that minimise padding when every document is padded to
 its bucket's boundary.  Inside a bucket, documents fill
-batches of `budget` tokens in a global order: rows are counted in blocks by hash of the id,
+batches of `budget` tokens in a global order: rows are counted in blocks by hash of id and row number,
 block offsets are prefix sums, so no task ever holds a bucket.
 
 Defined results: null or blank text has length 0 and is packed like any other (padded to the
@@ -60,8 +60,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     n = (count_words(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("long")).alias("__n")
-    sized = docs.select(F.col(id_col).alias("__id"), n)
-    sized = scratch.cut(sized, "lengths")
+    # Row numbers are fixed by writing them; they spread rows that share an id over the blocks.
+    sized = scratch.cut(docs.select(F.col(id_col).alias("__id"), n, F.monotonically_increasing_id().alias("__row")), "lengths")
     histogram = sized.groupBy("__n").agg(F.count("*").alias("c")).orderBy("__n").collect()  # a row for each length that occurs
     lengths, counts = np.array([r[0] for r in histogram], np.int64), np.array([r[1] for r in histogram], np.int64)
     bounds = optimal_bounds(lengths, counts, buckets) or [0]
@@ -70,11 +70,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     for i, b in enumerate(bounds[:-1]):
         bucket = F.when(F.col("__n") > b, F.lit(i + 1)).otherwise(bucket)
         size = F.when(F.col("__n") > b, F.lit(bounds[i + 1])).otherwise(size)
-    rows = sized.select("__id", "__n", bucket.alias("bucket"), size.cast("long").alias("bucket_len"), F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(blocks)).alias("__block"))
+    rows = sized.select("__id", "__n", "__row", bucket.alias("bucket"), size.cast("long").alias("bucket_len"), F.pmod(F.xxhash64("__id", "__row"), F.lit(blocks)).alias("__block"))
     counted = rows.groupBy("bucket", "__block").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("bucket").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counted.select("bucket", "__block", before.alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "__block").orderBy("__id", "__n")) - 1
+    rank = F.row_number().over(Window.partitionBy("bucket", "__block").orderBy("__id", "__n", "__row")) - 1
     placed = rows.withColumn("__rank", rank).join(offsets, ["bucket", "__block"])
     at = F.col("__before") + F.col("__rank")
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1)))).cast("long")
