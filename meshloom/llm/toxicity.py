@@ -153,14 +153,22 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col:
     wanted = labels.select(F.col(id_col).alias("i"), *[F.expr(x).cast("int").alias(f"y{k}") for k, x in enumerate(categories.values())]).dropna().dropDuplicates(["i"])
     wanted = wanted.orderBy(F.xxhash64("i"), "i").limit(sample_rows)
     sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(wanted), "i")  # at most sample_rows rows
-    table = sample.orderBy(F.xxhash64("i"), "i").limit(sample_rows).toArrow()
-    rows, hs = [], []
-    column = table["t"].combine_chunks() if table.num_rows else pa.array([], pa.string())
-    for i, _, data, offs in slices(column):
-        r, h = word_hashes(data, offs)
-        rows.append(r + i)
-        hs.append(h)
-    row, h = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*hs, np.zeros(0, np.uint64)])
+    sample = sample.orderBy(F.xxhash64("i"), "i").limit(sample_rows)
+    marks = [f"y{k}" for k in range(len(categories))]
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's different words, so that whole texts don't go to the driver."""
+        for batch in batches:
+            for i, j, data, offs in slices(batch.column(0)):
+                row, h = word_hashes(data, offs)
+                ends = np.searchsorted(row, np.arange(j - i + 1))
+                sets = [np.unique(h[a:z]).tobytes() for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *[batch.column(k + 1).slice(i, j - i) for k in range(len(marks))]], ["words", *marks])
+
+    table = sample.select("t", *marks).mapInArrow(distinct, "words binary" + "".join(f", {m} int" for m in marks)).toArrow()
+    sets = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    h = np.concatenate([*sets, np.zeros(0, np.uint64)])
     return train_chain(row, h, {name: np.array(table[f"y{k}"].to_pylist(), np.int64) for k, name in enumerate(categories)})
 
 
