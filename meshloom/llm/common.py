@@ -114,12 +114,14 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); one of our own only where unset."""
+    """The folder the cluster shares (spark.checkpoint.dir); only a local session gets one of its own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = have.get() if have.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='meshloom-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
