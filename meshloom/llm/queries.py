@@ -62,7 +62,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(_table(spark, sf_dir, "pages"), scratch=Scratch(spark, "warc"))
     read = warc.read_archives(spark, archives)
-    return read.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    return read.select(warc.page_number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", warc.page_number("refers_to").alias("refers_to"))
 
 
 def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

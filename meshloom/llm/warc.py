@@ -19,19 +19,22 @@ are written as none; an empty table gives no archive and an empty result; other
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 REVISIT_FROM = 100
 RANGE_BYTES = 8 << 20
+SALTS = 16
+LENGTH = re.compile(rb"^content-length:\s*(\d+)", re.I | re.M)
 MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 20
 
@@ -83,14 +86,17 @@ def _write(folder: str):
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", scratch: Scratch | None = None) -> DataFrame:
-    """Writes the archives; returns (path, bytes, records) of each."""
+    """Writes the archives; returns (path, bytes, records) of each.  Equal payloads are found by digest alone;
+    pages meet what was found by digest and one of SALTS salts, so a payload with countless copies spreads over tasks."""
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     html = F.coalesce(F.col(html_col), F.lit(""))
     digest = F.sha2(html.cast("binary"), 256)
     ident = F.col(id_col).cast("long")
     # Payloads that occur more than once: partial aggregation, a row each.
     first = pages.where(F.octet_length(html) >= REVISIT_FROM).select(digest.alias("d"), ident.alias("i")).groupBy("d").agg(F.min("i").alias("first"), F.count("*").alias("c")).where("c > 1 AND first IS NOT NULL").drop("c")
-    rows = pages.select(ident.alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("h"), digest.alias("d")).join(first, "d", "left")
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = pages.select(ident.alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("h"), digest.alias("d"), F.pmod(F.xxhash64(ident, F.col(url_col)), F.lit(SALTS)).cast("int").alias("salt"))
+    rows = rows.join(salted, ["d", "salt"], "left")
     to = F.when(F.col("first").isNotNull() & ~F.col("i").eqNullSafe(F.col("first")), F.col("first"))
     run, schema = _write(scratch.path("archives"))
     return scratch.cut(rows.select("i", "u", "h", "d", to.alias("to")).mapInArrow(run, schema), "manifest")
@@ -163,14 +169,10 @@ def members(source, start: int, end: int, size: int) -> Iterator[tuple[int, dict
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "digest", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = ["record_id", "url", "record_type", "refers_to", "payload_bytes", "digest", "payload"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     rows, held = [], 0
 
-    def page(x: str | None) -> int | None:
-        x = (x or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(x) if x else None
-
     def flush() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names)
 
@@ -179,12 +181,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, where = _open_fs(path)
             with fs.open_input_file(where) as source:
                 for _, fields, block in members(source, start, end, size):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    revisit = fields["warc-type"] == "revisit"
-                    length = int(http.lower().rpartition(b"content-length:")[2].split(b"\r\n")[0])
-                    digest = fields["warc-payload-digest"].partition(":")[2] if revisit else hashlib.sha256(payload).hexdigest()
-                    rows.append((page(fields.get("warc-record-id")), fields.get("warc-target-uri"), fields["warc-type"], page(fields.get("warc-refers-to")), length if revisit else len(payload), digest, None if revisit else payload))
-                    held += len(payload)
+                    kind, payload = fields["warc-type"], block
+                    if fields.get("content-type", "").lower().startswith("application/http"):
+                        http, _, payload = block.partition(b"\r\n\r\n")
+                    length, digest = len(payload), None
+                    if kind == "revisit":  # length and digest are the full payload's, where the record tells them
+                        told = LENGTH.search(http) if payload is not block else None
+                        length, payload = int(told[1]) if told else None, None
+                        digest = fields.get("warc-payload-digest", "").rpartition(":")[2] or None
+                    else:
+                        digest = hashlib.sha256(payload).hexdigest()
+                    rows.append((fields.get("warc-record-id"), fields.get("warc-target-uri"), kind, fields.get("warc-refers-to"), length, digest, payload))
+                    held += len(block)
                     if held > 4 << 20 or len(rows) > 5000:
                         yield flush()
                         rows, held = [], 0
@@ -193,13 +201,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload_bytes, digest, payload) of every record of
-    archives (path, bytes, ...); length and digest are of the full payload, which a revisit lacks."""
+    """(record_id, url, record_type, refers_to, payload_bytes, digest, payload) of every record of archives
+    (path, bytes, ...), whoever wrote them: ids as they stand there, of HTTP records the payload, of others
+    (warcinfo, metadata) the block.  A revisit lacks its payload; length and digest are of the full one, null where not told."""
     ranges = archives.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(range_bytes))).alias("start"))
     ranges = ranges.select("path", "bytes", F.col("start").cast("long").alias("start"), F.least("bytes", F.col("start") + range_bytes).cast("long").alias("end"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = ranges.repartition(parts, "path", "start")
-    return ranges.mapInArrow(_read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, digest string, payload binary")
+    return ranges.mapInArrow(_read, "record_id string, url string, record_type string, refers_to string, payload_bytes long, digest string, payload binary")
+
+
+def page_number(urn) -> Column:
+    """The page id in a record id of `write_archives`."""
+    return F.nullif(F.regexp_extract(urn, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
 
 
 SQL = """
