@@ -35,7 +35,8 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = repeats.repeated_bytes(_table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # A cut can fall inside a character, so the kept text has U+FFFD there; the digest is of the bytes.
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

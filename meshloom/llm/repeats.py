@@ -1,22 +1,24 @@
 """Suffix-array deduplication: bytes covered by a `length`-byte string that starts anywhere else too.
 
-A full suffix sort of the corpus isn't needed.  A window (a string of `length` bytes) has one
-canonical anchor, the k-gram with the least hash in it, so equal windows have equal anchors at
-equal offsets, and windows in a row that share an anchor form a *run*.
-
-1. One scan gives the runs (one per about length/2 bytes): anchor, hash of the whole run, place.
-2. Runs equal as a whole collapse under partial aggregation, however many copies there are; a
-   run seen twice is repeated throughout.
-3. Only anchors with two or more different runs need suffixes.  Their runs are cut into pieces
-   of up to PIECE windows aligned on the anchor, pieces whose common core no other piece has go, and
-   equal pieces collapse.  Different pieces with a common core are sorted as shards: each has its Burrows-Wheeler transform over a
-   super-alphabet of length/2-byte symbols, and shard transforms merge by iterative interleave
-   refinement: iteration h orders suffixes by h symbols with one stable pass over the
+A full suffix sort of the corpus isn't needed: only suffixes that can meet are sorted.  A window (a string
+of `length` bytes) has one canonical anchor, the k-gram with the least hash in it, so equal windows have
+equal anchors at equal offsets, and windows in a row that share an anchor form a *run*.
+
+1. One scan gives the runs (one per about length/2 bytes): anchor, hash of the whole run, place.  Of copies of
+   a text two a task are enough.  Equal runs are one string with a weight (partial aggregation, however many
+   copies there are); anchors that occur once go.
+2. The other runs' texts are strings over a super-alphabet of length/SYMBOLS-byte symbols: for each of the
+   first length/SYMBOLS offsets, the symbols that follow each other from there.  Strings that meet in an
+   anchor are dealt to SHARDS shards.  Each has its Burrows-Wheeler transform, and shard transforms merge by iterative
+   interleave refinement: iteration h orders suffixes by h symbols with one stable pass over the
    transforms, no suffix is sorted again, and a boundary first seen in iteration h is a common
    prefix of h-1 symbols.  Intervals without a boundary after SYMBOLS iterations are the strings of
-   `length` bytes that occur twice or more.
-4. Anchors with more than HOT_ANCHOR different runs (a passage in countless contexts) would
-   fill one task; their windows are counted by hash with partial aggregation instead.
+   `length` bytes; those of weight two or more are repeated.  All repeats come from these intervals.
+3. An anchor with more than GROUP different runs (a passage in countless contexts) is split by content: its
+   runs are cut into pieces of PIECES[0] windows aligned on the anchor, and pieces meet by their core, the
+   bytes that all their windows have; cores of too many different pieces are cut finer, at last to
+   single windows, of which equal ones are one string.  Every part goes through the same merge.
+4. Repeated windows go back to all places of their runs.
 
 Defined results: null text is empty; texts shorter than `length` keep all bytes; rows repeating
 a text (or a whole row) are copies of each other, so all their windows are removed; ids only
@@ -35,11 +37,13 @@ from pyspark.sql import functions as F
 from .common import Hashes, LANES, Scratch, U, hidden, mix, powers, signed, slices
 
 K = 24
-PIECE = 64
-HOT_ANCHOR = 4096
+#: Windows a piece has when hot anchors are split, level by level.
+PIECES = (64, 8, 1)
+GROUP = 4096
 SEGMENT = 1 << 23
-SHARD = 1 << 17
-PART = 2000
+SHARDS = 4
+#: Bytes of strings that are merged at once (whole groups).
+PART_BYTES = 1 << 19
 #: Symbols a window has; the super-alphabet's symbols are length/SYMBOLS bytes.
 SYMBOLS = 2
 _POS = 24
@@ -83,25 +87,34 @@ def runs_of(data: np.ndarray, offs: np.ndarray, length: int):
 
 
 def _scan(length: int):
-    """Map: (t1, t2, text) -> runs."""
-    names = ["t1", "t2", "off", "len", "adist", "fp", "rh"]
+    """Map: (t1, t2, text) -> runs; place is offset, windows and anchor's distance in one number."""
+    names = ["t1", "t2", "place", "fp", "rh"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}  # texts of this task and how often they came; forgotten when large
         for batch in batches:
             t1, t2 = batch[0].to_numpy(), batch[1].to_numpy()
-            for i, j, data, offs in slices(batch[2]):
+            use = np.ones(len(t1), bool)
+            for k, key in enumerate(zip(t1.tolist(), t2.tolist(), strict=True)):
+                seen[key] = seen.get(key, 0) + 1
+                use[k] = seen[key] <= 2  # two copies make a repeat, more add nothing
+            if len(seen) > 200_000:
+                seen.clear()
+            t1, t2, text = t1[use], t2[use], batch[2].filter(pa.array(use))
+            for i, j, data, offs in slices(text):
                 base = 0
                 while True:  # one pass, but for a single text beyond SEGMENT bytes
                     end = min(len(data), base + SEGMENT + length - 1) if j == i + 1 else len(data)
                     part, o = data[base:end], offs if j > i + 1 else np.array([0, end - base], np.int64)
                     row, off, n, dist, fp, rh = runs_of(part, o, length)
                     if len(row):
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[i + row], t2[i + row], off + base, n, dist, signed(fp), signed(rh))], names)
+                        place = off + base << 32 | n << 16 | dist
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[i + row], t2[i + row], place, signed(fp), signed(rh))], names)
                     if end == len(data):
                         break
                     base += SEGMENT
 
-    return run, "t1 long, t2 int, off long, len long, adist long, fp long, rh long"
+    return run, "t1 long, t2 int, place long, fp long, rh long"
 
 
 # -- shard transforms ------------------------------------------------------------------------
@@ -169,147 +182,159 @@ def merge(a: Shard, b: Shard, depth: int) -> tuple[Shard, np.ndarray]:
     return Shard(seq, place, a.strings + b.strings), at_depth
 
 
-def repeated_starts(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
-    """Text positions s, first <= s <= last of some piece (whose bytes end at last+length), whose
-    length-byte string occurs at two or more positions of the pieces."""
-    q = length // SYMBOLS
-    h = Hashes(data)
-    count = last - first + 1
-    starts = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    place = starts[:, None] + q * np.arange(SYMBOLS)
-    _, rank = np.unique(h.of(place.ravel(), place.ravel() + q), return_inverse=True)
-    symbols = rank.reshape(place.shape).astype(np.int32)
-    step = SHARD // SYMBOLS
-    # Neighbouring strings go to different shards, so that equal ones meet in the merges.
-    count = -(-len(symbols) // step)
-    shards = [Shard.build(symbols[k::count], place[k::count]) for k in range(count)]
-    shards = shards if len(shards) > 1 else [*shards, Shard(symbols[:0, 0], place[:0, 0], 0)]
+def repeated_windows(data: np.ndarray, at: np.ndarray, windows: np.ndarray, weight: np.ndarray, shard: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, window) of each window whose `length` bytes occur with a weight of two or more.  String i
+    has windows[i] windows, starts at data[at[i]] and stands for weight[i] equal ones."""
+    q, m = length // SYMBOLS, len(at)
+    symbols_of = windows + length - q  # symbols start at this many offsets of a string
+    base = np.concatenate([[0], np.cumsum(symbols_of)])
+    string = np.repeat(np.arange(m), symbols_of)
+    offset = np.arange(base[-1]) - base[string]
+    where = at[string] + offset
+    _, rank = np.unique(Hashes(data).of(where, where + q), return_inverse=True)
+    deep = -(-int(symbols_of.max()) // q)
+    step = np.arange(q)[:, None] + q * np.arange(deep)  # a row for each offset below q: the symbols that follow from there
+    shards = []
+    for k in np.unique(shard):
+        own = np.flatnonzero(shard == k)
+        place = base[own][:, None, None] + step
+        place = np.where(step < symbols_of[own][:, None, None], place, -1).reshape(-1, deep)
+        shards.append(Shard.build(np.where(place < 0, -1, rank[place]).astype(np.int32), place))
+    shards = shards if len(shards) > 1 else [*shards, Shard(shards[0].bwt[:0], shards[0].place[:0], 0)]
     while len(shards) > 1:
         merged = [merge(shards[k], shards[k + 1], SYMBOLS) for k in range(0, len(shards) - 1, 2)]
-        shards = [m[0] for m in merged] + shards[2 * len(merged) :]
-    interval, where = merged[0][1], shards[0].place
-    whole = (where >= 0) & (shards[0].bwt < 0)  # suffixes that are whole windows, not their later symbols
-    where, interval = where[whole], interval[whole]
-    size = np.bincount(interval)
-    return np.sort(where[size[interval] >= 2])
-
-
-def _resolve(length: int):
-    """Map over contested runs sorted by anchor -> repeated spans of runs that occur once as a whole."""
+        shards = [x[0] for x in merged] + shards[2 * len(merged) :]
+    interval, place = merged[0][1], shards[0].place
+    some = place >= 0
+    interval, place = interval[some], place[some]
+    whole = offset[place] < windows[string[place]]  # suffixes of SYMBOLS symbols or more
+    interval, place = interval[whole], place[whole]
+    total = np.bincount(interval, weights=np.minimum(weight, 2)[string[place]])
+    hit = np.sort(place[total[interval] >= 2])
+    return string[hit], offset[hit]
+
+
+def _live(data: np.ndarray, at: np.ndarray, windows: np.ndarray, dist: np.ndarray, weight: np.ndarray, group: np.ndarray, length: int):
+    """Stretches (string, first window, windows) whose pieces have a core that has weight two or more in its group."""
+    size = PIECES[0]
+    low, high = dist - windows + 1, dist  # distances from window to anchor
+    n = high // size - low // size + 1
+    row = np.repeat(np.arange(len(n)), n)
+    j = high[row] // size - (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))  # from the first window on
+    first = np.maximum(0, dist[row] - (size * j + size - 1))
+    last = np.minimum(windows[row] - 1, dist[row] - size * j)
+    core = at[row] + dist[row] - size * j  # the bytes that all windows of a whole piece have, so each one here has
+    key = mix(Hashes(data).of(core, core - size + 1 + length) ^ mix(group[row] + j.astype(np.uint64) * LANES[22]))
+    _, inverse = np.unique(key, return_inverse=True)
+    total = np.bincount(inverse, weights=np.minimum(weight, 2)[row])
+    keep = total[inverse] >= 2
+    row, first, last = row[keep], first[keep], last[keep]
+    head = np.ones(len(row), bool)
+    head[1:] = (row[1:] != row[:-1]) | (first[1:] != last[:-1] + 1)
+    begin = first[head]
+    end = last[np.append(head[1:], True)] if len(row) else last
+    return row[head], begin, end - begin + 1
+
+
+def _solve(length: int):
+    """Map over strings sorted by key -> (key, sh, spans): the repeated stretches of each string, as
+    (first window << 31 | bytes)."""
 
     from .ngram_join import _groups
 
-    def solve(table: pa.Table) -> list[np.ndarray] | None:
-        cols = {k: table[k].to_numpy() for k in ("fp", "rh", "c", "t1", "t2", "off", "len", "adist")}
+    def solve(table: pa.Table) -> pa.RecordBatch | None:
         content = table["content"].combine_chunks().cast(pa.large_binary())
-        order = np.lexsort((cols["rh"], cols["fp"]))
-        keep = np.ones(len(order), bool)
-        keep[1:] = (cols["fp"][order[1:]] != cols["fp"][order[:-1]]) | (cols["rh"][order[1:]] != cols["rh"][order[:-1]])
-        order = order[keep]
-        cols = {k: v[order] for k, v in cols.items()}
-        content = content.take(pa.array(order))
-        data, offs = np.frombuffer(content.buffers()[2], np.uint8), np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content) + 1]
-        a = offs[:-1] + cols["adist"]
-        low, high = cols["adist"] - cols["len"] + 1, cols["adist"]  # distances from window to anchor
-        n = high // PIECE - low // PIECE + 1
-        row = np.repeat(np.arange(len(n)), n)
-        j = low[row] // PIECE + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        start = a[row] - PIECE * j
-        hashes = Hashes(data)
-        core = hashes.of(start, start - PIECE + 1 + length)
-        key = mix(core ^ mix(cols["fp"][row].view(np.uint64) + j.astype(np.uint64) * LANES[22]))
-        _, inverse, size = np.unique(key, return_inverse=True, return_counts=True)
-        live = size[inverse] >= 2
-        if not live.any():
+        data = np.frombuffer(content.buffers()[2], np.uint8)
+        at = np.frombuffer(content.buffers()[1], np.int64)[content.offset : content.offset + len(content)]
+        key, sh, weight, windows, dist = (table[k].to_numpy() for k in ("key", "sh", "w", "n", "dist"))
+        string, first, n = _live(data, at, windows, dist, weight, key.view(np.uint64), length)
+        if not len(string):
             return None
-        row, j, inverse = row[live], j[live], inverse[live]
-        first = a[row] - np.minimum(high[row], PIECE * j + PIECE - 1)
-        last = a[row] - np.maximum(low[row], PIECE * j)
-        # Equal pieces are repeated throughout; one of each goes on, where its core has other pieces too.
-        whole = mix(hashes.of(first, last + length) + (a[row] - first).astype(np.uint64) * LANES[23] + inverse.astype(np.uint64) * LANES[24])
-        _, rep, cls, copies = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-        copies = np.maximum(copies, np.bincount(cls, weights=cols["c"][row] > 1).astype(np.int64) * 2)
-        again = np.flatnonzero(copies[cls] >= 2)
-        n = (last - first + 1)[again]
-        r_all = np.repeat(row[again], n)
-        at_all = np.repeat(first[again] - offs[row[again]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        variants = np.bincount(inverse[rep], minlength=len(size))
-        rep = rep[variants[inverse[rep]] >= 2]
-        rep = rep[np.argsort(inverse[rep], kind="stable")]
-        row, first, last, single = row[rep], first[rep], last[rep], copies[cls[rep]] == 1
-        r, at = r_all, at_all
-        if len(rep):
-            # The pieces' own bytes, end to end: neighbouring pieces of a run overlap in the text.
-            size = last - first + length
-            to = np.concatenate([[0], np.cumsum(size)])
-            own = data[np.repeat(first - to[:-1], size) + np.arange(to[-1])]
-            hit = repeated_starts(own, to[:-1], to[:-1] + last - first, length)
-            p = np.searchsorted(to, hit, "right") - 1
-            hit, p = hit[single[p]], p[single[p]]
-            r = np.concatenate([r, row[p]])
-            at = np.concatenate([at, first[p] - offs[row[p]] + hit - to[p]])
-        once = cols["c"][r] == 1
-        r, at = r[once], at[once]
-        if not len(r):
+        shard = (sh[string].view(np.uint64) % U(SHARDS)).astype(np.int64)
+        which, window = repeated_windows(data, at[string] + first, n, weight[string], shard, length)
+        if not len(which):
             return None
-        at = at + cols["off"][r]
-        order = np.lexsort((at, r))
-        r, at = r[order], at[order]
-        head = np.ones(len(r), bool)
-        head[1:] = (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)
-        begin, end = at[head], at[np.append(head[1:], True)] + length
-        return [cols["t1"][r[head]], cols["t2"][r[head]], (begin << 31) | (end - begin)]
+        row, window = string[which], window + first[which]
+        head = np.ones(len(row), bool)
+        head[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)
+        begin, row, end = window[head], row[head], window[np.append(head[1:], True)] + length
+        lists = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        spans = pa.ListArray.from_arrays(pa.array(np.append(lists, len(row)), pa.int32()), pa.array(begin << 31 | end - begin))
+        return pa.RecordBatch.from_arrays([pa.array(key[row[lists]]), pa.array(sh[row[lists]]), spans], ["key", "sh", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ("fp",)):
-            fp = table["fp"].to_numpy()
-            heads = np.append(np.flatnonzero(np.append(True, fp[1:] != fp[:-1])), len(fp))
+        for table in _groups(batches, ("key",)):
+            key = table["key"].to_numpy()
+            heads = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            upto = np.concatenate([[0], np.cumsum(table["n"].to_numpy() + length)])
             s = 0
-            while s < len(fp):  # whole groups, about PART runs at a time
-                e = int(heads[min(np.searchsorted(heads, s + PART), len(heads) - 1)])
+            while s < len(key):  # whole groups, about PART_BYTES at a time
+                fits = heads[(heads > s) & (upto[heads] <= upto[s] + PART_BYTES)]
+                e = int(fits[-1]) if len(fits) else int(heads[np.searchsorted(heads, s, "right")])
                 if got := solve(table.slice(s, e - s)):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["t1", "t2", "span"])
+                    yield got
                 s = e
 
-    return run, "t1 long, t2 int, span long"
+    return run, "key long, sh long, spans array<long>"
+
 
+_STRING = "key long, sh long, w long, n long, dist long, fp long, rh long, at long, content binary"
+_KINDS = [pa.int64()] * 8 + [pa.binary()]
+_NAMES = [x.split()[0] for x in _STRING.split(", ")]
 
-def _cut_out(length: int):
-    """Map: (t1, t2, text, asked) -> contents of asked runs (hot = 0), or each of their windows' hashes (hot = 1)."""
-    names = ["hot", "fp", "rh", "c", "t1", "t2", "off", "len", "adist", "content"]
+
+def _fetch(length: int):
+    """Map: (t1, t2, text, asked) -> the strings of asked runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        before, out, held = None, [], 0
         for batch in batches:
-            out = {k: [] for k in names}
             for t1, t2, text, asked in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], batch[3].to_pylist(), strict=True):
                 if (t1, t2) == before:  # a copy of the same text
                     continue
                 before = (t1, t2)
-                raw = text.as_buffer().to_pybytes()
-                hashes = None
+                raw = text.as_buffer()
                 for x in asked:
-                    if not x["hot"]:
-                        for k, v in (x | {"t1": t1, "t2": t2, "content": raw[x["off"] : x["off"] + x["len"] - 1 + length]}).items():
-                            out[k].append(v)
-                        continue
-                    hashes = hashes or Hashes(np.frombuffer(raw, np.uint8))
-                    s = np.arange(x["off"], x["off"] + x["len"])
-                    wh = signed(hashes.of(s, s + length)).tolist()
-                    for i, h in enumerate(wh):
-                        for k, v in (x | {"t1": t1, "t2": t2, "rh": h, "off": x["off"] + i, "len": 1, "adist": x["adist"] - i, "content": b""}).items():
-                            out[k].append(v)
-                if len(out["fp"]) > 20_000:
-                    yield to_batch(out)
-                    out = {k: [] for k in names}
-            if out["fp"]:
-                yield to_batch(out)
-
-    def to_batch(out: dict) -> pa.RecordBatch:
-        kinds = {"t2": pa.int32(), "hot": pa.bool_(), "content": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(out[k], kinds.get(k, pa.int64())) for k in names], names)
-
-    return run, "hot boolean, fp long, rh long, c long, t1 long, t2 int, off long, len long, adist long, content binary"
+                    off, n = x["place"] >> 32, x["place"] >> 16 & 0xFFFF
+                    out.append((x["fp"], x["rh"], x["w"], n, x["place"] & 0xFFFF, x["fp"], x["rh"], 0, raw.slice(off, n - 1 + length).to_pybytes()))
+                    held += n + length
+                if held > 4 << 20:
+                    yield _rows(out)
+                    out, held = [], 0
+        if out:
+            yield _rows(out)
+
+    return run, _STRING
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _KINDS, strict=True)], _NAMES)
+
+
+def _split(length: int, size: int):
+    """Map: strings -> their pieces of up to `size` windows, aligned on the anchor; key is the core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for batch in batches:
+            for key, _, w, n, dist, fp, rh, at, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                hashes = Hashes(np.frombuffer(content, np.uint8))
+                j = np.arange((dist - n + 1) // size, dist // size + 1)
+                first, last = np.maximum(0, dist - (size * j + size - 1)), np.minimum(n - 1, dist - size * j)
+                start = dist - size * j
+                core = mix(hashes.of(start, start - size + 1 + length) ^ mix(np.full(1, fp, np.int64).view(np.uint64) + j.astype(np.uint64) * LANES[22]))
+                piece = mix(hashes.of(first, last + length) + (dist - first).astype(np.uint64) * LANES[23])
+                for k in range(len(j)):
+                    f, g = int(first[k]), int(last[k])
+                    out.append((int(signed(core[k : k + 1])[0]), int(signed(piece[k : k + 1])[0]), w, g - f + 1, dist - f, fp, rh, at + f, content[f : g + length]))
+                    held += g - f + length
+                if held > 4 << 20:
+                    yield _rows(out)
+                    out, held = [], 0
+        if out:
+            yield _rows(out)
+
+    return run, _STRING
 
 
 def _spans(batch_spans) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -357,35 +382,48 @@ def _remove(at_text: int, at_span: int, whole_chars: bool):
 
 def _with_spans(docs: DataFrame, text_col: str, length: int) -> tuple[DataFrame, str]:
     """docs with a column of encoded spans (start << 31 | length) to remove."""
-    if length % SYMBOLS or length < max(2 * K, 2 * PIECE):
-        raise ValueError("length must be a multiple of SYMBOLS and at least twice the anchor and piece sizes")
+    if length % SYMBOLS or not max(2 * K, 2 * PIECES[0]) <= length < 1 << 16:
+        raise ValueError("length must be a multiple of SYMBOLS, at least twice the anchor and piece sizes, and below 65536")
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"), text.alias("text"))
     run, schema = _scan(length)
     runs = scratch.cut(source.where(F.octet_length("text") >= length).mapInArrow(run, schema), "runs")
-    # Runs equal as a whole, then anchors with different runs.
-    whole = runs.groupBy("fp", "rh").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "off", "len", "adist")).alias("x"))
-    whole = whole.select("fp", "rh", "c", "x.*")
-    anchors = whole.groupBy("fp").agg(F.count("*").alias("nd"), F.min("c").alias("least")).where("nd > 1 AND least = 1").select("fp", (F.col("nd") > HOT_ANCHOR).alias("hot"))
-    contested = scratch.cut(whole.join(anchors, "fp"), "contested")
-    twice = runs.join(whole.where("c > 1").select("fp", "rh"), ["fp", "rh"])
-    spans = twice.select("t1", "t2", (F.shiftleft("off", 31) + F.col("len") - 1 + length).alias("span"))
-    asked = contested.groupBy("t1", "t2").agg(F.collect_list(F.struct("hot", "fp", "rh", "c", "off", "len", "adist")).alias("asked"))
-    run, schema = _cut_out(length)
-    pieces = scratch.cut(source.join(asked.hint("merge"), ["t1", "t2"]).select("t1", "t2", "text", "asked").mapInArrow(run, schema), "pieces")
-    run, schema = _resolve(length)
-    cold = pieces.where("NOT hot").drop("hot").repartition("fp").sortWithinPartitions("fp").mapInArrow(run, schema)
-    # rh is the window's hash here; two places make it repeated.
-    place = F.struct("t1", "t2", "off")
-    windows = pieces.where("hot")
-    met = windows.groupBy("fp", "rh", "adist").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("c").alias("most")).where("lo != hi OR most > 1")
-    warm = windows.where("c = 1").join(met.select("fp", "rh", "adist"), ["fp", "rh", "adist"]).select("t1", "t2", (F.shiftleft("off", 31) + F.lit(length)).alias("span"))
-    spans = spans.union(cold).union(warm).groupBy("t1", "t2").agg(F.collect_set("span").alias("spans"))
+    # Runs equal as a whole are one string; anchors that occur once go.
+    whole = runs.groupBy("fp", "rh").agg(F.count("*").alias("w"), F.min(F.struct("t1", "t2", "place")).alias("x"))
+    anchors = runs.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
+    asked = whole.join(anchors, "fp").groupBy("x.t1", "x.t2").agg(F.collect_list(F.struct("fp", "rh", "w", "x.place")).alias("asked"))
+    asked = scratch.cut(asked, "asked")  # per text, so no list is longer than a text has runs
+    run, schema = _fetch(length)
+    strings = scratch.cut(source.join(asked.hint("merge"), ["t1", "t2"]).select("t1", "t2", "text", "asked").mapInArrow(run, schema), "strings")
+    scratch.release(asked)
+    run, schema = _solve(length)
+    found, used = [], [runs]
+    for size in (*PIECES, None):
+        used.append(strings)
+        each = strings if size == PIECES[0] else strings.groupBy("key", "sh").agg(F.sum("w").alias("w"), *[F.first(c).alias(c) for c in ("n", "dist", "content")])
+        crowded = each.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > GROUP).select("key") if size else None
+        if size:
+            crowded = scratch.cut(crowded, "crowded")
+            each = each.join(crowded, "key", "left_anti")
+        solved = each.select("key", "sh", "w", "n", "dist", "content").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+        solved = scratch.cut(solved, "solved")
+        back = strings.select("key", "sh", "fp", "rh", "at").join(solved, ["key", "sh"])
+        found.append(back.select("fp", "rh", F.explode("spans").alias("span"), "at").select("fp", "rh", (F.col("span") + F.shiftleft("at", 31)).alias("span")))
+        if not size or crowded.isEmpty():
+            break
+        cut, kinds = _split(length, size)
+        strings = scratch.cut(strings.join(crowded, "key").select(*_NAMES).mapInArrow(cut, kinds), "pieces")
+    parts = found[0]
+    for x in found[1:]:
+        parts = parts.union(x)
+    parts = scratch.cut(parts, "parts")
+    spans = runs.select("t1", "t2", "fp", "rh", F.shiftright("place", 32).alias("off")).join(parts, ["fp", "rh"])
+    spans = spans.select("t1", "t2", (F.col("span") + F.shiftleft("off", 31)).alias("span")).groupBy("t1", "t2").agg(F.collect_set("span").alias("spans"))
     s1, s2, name = hidden("t1_", docs), hidden("t2_", docs), hidden("spans_", docs)
     spans = scratch.cut(spans.select(F.col("t1").alias(s1), F.col("t2").alias(s2), F.col("spans").alias(name)), "spans")
-    scratch.release(runs, contested, pieces)
+    scratch.release(*used, parts)
     return docs.join(spans, (F.xxhash64(text) == F.col(s1)) & (F.hash(text) == F.col(s2)), "left").drop(s1, s2), name
 
 
