@@ -10,6 +10,10 @@ from meshloom.llm import ngram_join, packing, pseudonyms, quality, repeats
 from meshloom.llm.common import Scratch
 
 
+#: Bytes of the shortest passage that is cut: fifty words of three letters and a blank.
+PASSAGE = 200
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     return quality.quality_filter(docs)
@@ -21,13 +25,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that occur elsewhere too are cut out."""
-    return repeats.without_repeats(docs)
+    """Passages of PASSAGE bytes or more that occur elsewhere too are cut out."""
+    return repeats.without_repeats(docs, length=PASSAGE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by pseudonyms of the same format."""
-    return pseudonyms.pseudonymised(docs)
+    return pseudonyms.pseudonymised(docs, pseudonyms.session_key(spark))
 
 
 def length_buckets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
