@@ -67,8 +67,8 @@ def tetra_volume(a: Vec, b: Vec, c: Vec, apex: Vec) -> Column:
 
 
 def add_centroid(cells: DataFrame) -> DataFrame:
-    """cells(..., elem_type, points) -> the same with x, y, z of the centroid instead of points; null for
-    unknown types.
+    """cells(..., elem_type, points) -> the same with x, y, z of the centroid instead of points; the origin
+    for unknown types.
 
     Triangles, tetrahedra: mean of the points.  Quadrilaterals: area-weighted mean of triangles (0, 1, 2)
     and (0, 2, 3).  Pyramids: base centre and a third of the way to the apex (the reference figure; the
@@ -90,7 +90,7 @@ def add_centroid(cells: DataFrame) -> DataFrame:
     hexa = reduce(Vec.__add__, [mean([p[i] for i in tet]) * v[k] for k, tet in enumerate(HEXA_TETS)]) / F.col("v")
     forms = {5: mean(p[:3]), 7: base, 10: mean(p[:4]), 12: base + (p[4] - base) / 3.0, 14: (mean(p[:3]) + mean(p[3:6])) / 2.0, 17: hexa}
     code = F.col("elem_type")
-    out = [F.lit(None).cast("double")] * 3
+    out = [F.lit(0.0)] * 3
     for k, form in forms.items():
         out = [F.when(code == k, c).otherwise(o) for c, o in zip(form.c, out, strict=True)]
     return based.select(*keep, *[c.alias(a) for c, a in zip(out, AXES, strict=True)])

@@ -34,9 +34,9 @@ def trim_right(text: Column) -> Column:
     return F.rtrim(text, F.lit(BLANKS))
 
 
-def matches(text: Column, rule: str) -> Column:
-    """Case-insensitive search."""
-    return text.rlike("(?i)" + rule)
+def matches(text: Column, rule: str, plain: bool = False) -> Column:
+    """Case-insensitive search; plain: the rule as it stands is looked for, case and all."""
+    return text.contains(rule) if plain else text.rlike("(?i)" + rule)
 
 
 def matches_any(text: Column, rules: list[str]) -> Column:

@@ -57,6 +57,14 @@ def global_offsets(sizes: DataFrame) -> DataFrame:
     return sizes.select("part_id", "section_id", total.alias("global_number"), start.alias("global_start"), (start + F.col("n")).alias("global_end"))
 
 
+def running_offsets(sizes: DataFrame) -> DataFrame:
+    """sizes(part_id, n) -> global_number, global_start, global_end (exclusive): one counter through all parts.
+    One row a part."""
+    w = Window.orderBy("part_id").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long")
+    return sizes.select("part_id", F.sum("n").over(Window.partitionBy()).alias("global_number"), start.alias("global_start"), (start + F.col("n")).alias("global_end"))
+
+
 def block_distribution(spark: SparkSession, total: Column | int, n: int) -> DataFrame:
     """(rank, start, end): equal blocks, the remainder to the first ranks."""
     total = total if isinstance(total, Column) else F.lit(total)

@@ -179,6 +179,12 @@ def global_info(s, d):
     return N.global_offsets(sizes)
 
 
+@query("SELECT part_id, sum(n) OVER ()::BIGINT AS global_number, coalesce(sum(n) OVER (ORDER BY part_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS global_start, sum(n) OVER (ORDER BY part_id ROWS UNBOUNDED PRECEDING)::BIGINT AS global_end FROM (SELECT part_id, count(*) AS n FROM pc GROUP BY part_id)", cut=True)
+def global_info_running(s, d):
+    """The graph cutter's counter, which runs through all parts."""
+    return N.running_offsets(default_cut(s, d).cells.groupBy("part_id").agg(F.count("*").alias("n")))
+
+
 @query("SELECT r::INT AS part_id, 'pipe_' || lpad(r::VARCHAR, 2, '0') || '.cgns' AS cartesian_name, 'decomposed_mesh_' || r || '.cgns' AS graph_name FROM range(12) t(r)", raw=True)
 def part_file_names(s, d):
     return Src.part_file_names(s.range(12).select(F.col("id").cast("int").alias("part_id")), "pipe", 12)
@@ -365,6 +371,13 @@ def cells_by_part(s, d):
     return c.groupBy("part_id").agg(F.count("*").alias("n_cell"), F.min("elem_id").alias("first_cell"), F.max("elem_id").alias("last_cell"), F.sum("elem_id").alias("id_sum"))
 
 
+@query("SELECT part_id, row_number() OVER (PARTITION BY part_id ORDER BY elem_id) AS ordinal, elem_id FROM pc", cut=True)
+def cells_in_order(s, d):
+    """Cells by part, then by id inside it, with their place."""
+    cells = default_cut(s, d).cells.select("part_id", "elem_id", F.lit(0).alias("all"))
+    return N.ordinals(cells, "part_id", "all", "elem_id", "ordinal").select("part_id", "ordinal", "elem_id")
+
+
 @query("SELECT (r * (16 // 5) + least(r, 16 % 5))::BIGINT AS \"start\", ((r + 1) * (16 // 5) + least(r + 1, 16 % 5))::BIGINT AS \"end\", r::INT AS rank FROM range(5) t(r)", raw=True)
 def block_distribution(s, d):
     return N.block_distribution(s, 16, 5)
@@ -418,6 +431,13 @@ def boundary_faces(s, d):
     return wound(default_cut(s, d).bounded)
 
 
+@query("SELECT part_id, row_number() OVER (PARTITION BY part_id ORDER BY section_id, elem_id) AS ordinal, section_id, elem_id FROM bounded", cut=True)
+def boundary_order(s, d):
+    """Boundary faces of a part in source order, with their place."""
+    faces = default_cut(s, d).bounded.select("part_id", "section_id", "elem_id")
+    return N.ordinals(faces, "part_id", "section_id", "elem_id", "ordinal").select("part_id", "ordinal", "section_id", "elem_id")
+
+
 @query("SELECT part_id, face_key FROM openf", cut=True)
 def open_faces(s, d):
     return text_key(default_cut(s, d).open).select("part_id", "face_key")

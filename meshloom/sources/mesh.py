@@ -33,13 +33,35 @@ def write_mesh(mesh: Mesh, path: str, mode: str = "errorifexists") -> None:
     mesh.sections.write.mode(mode).parquet(f"{path}/sections")
 
 
+def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A mesh table; coordinates of either precision are read as they are."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        raise MeshError(f"{path} is no table of a mesh") from e
+    have = {f.name: f.dataType for f in found.schema.fields}
+    if missing := [f.name for f in schema.fields if f.name not in have]:
+        raise MeshError(f"{path} has no column {', '.join(missing)}")
+    return found.select(*[f.name if f.name in ("x", "y", "z") and isinstance(have[f.name], (T.FloatType, T.DoubleType)) else F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def read_mesh(spark: SparkSession, path: str, validate: bool = True) -> Mesh:
-    mesh = Mesh(spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(ELEMENTS).parquet(f"{path}/elements"), spark.read.schema(SECTIONS).parquet(f"{path}/sections"), 0)
+    mesh = Mesh(_table(spark, f"{path}/nodes", NODES), _table(spark, f"{path}/elements", ELEMENTS), _table(spark, f"{path}/sections", SECTIONS), 0)
     if validate:
         check(mesh)
     return mesh
 
 
+def precision(mesh: Mesh) -> int:
+    """Bits of a coordinate: 32 or 64."""
+    kinds = {mesh.nodes.schema[a].dataType.typeName() for a in ("x", "y", "z")}
+    if kinds <= {"float", "double"} and len(kinds) == 1:
+        return 32 if kinds == {"float"} else 64
+    raise MeshError(f"coordinates of types {sorted(kinds)}")
+
+
 def checks(mesh: Mesh) -> DataFrame:
     """(n_sections, n_nodes, contiguous, n_body, valid): node ids are 1..n, there is a section, body
     sections are three-dimensional, section ranges hold their elements."""
@@ -211,6 +233,12 @@ def part_file_names(parts: DataFrame, base: str, n: int) -> DataFrame:
     return parts.select("part_id", F.format_string(f"{base}_%0{pad}d.cgns", "part_id").alias("cartesian_name"), F.format_string("decomposed_mesh_%d.cgns", "part_id").alias("graph_name"))
 
 
+def write_center_dumps(centers: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """centers(part_id, nbr_id, x, y, z) as text, a folder `name=Interface_<part>_<neighbour>` a side: `x y z` lines."""
+    name = F.concat_ws("_", F.lit("Interface"), F.col("part_id").cast("string"), F.col("nbr_id").cast("string"))
+    centers.select(name.alias("name"), F.concat_ws(" ", *[F.col(a).cast("string") for a in ("x", "y", "z")]).alias("value")).write.mode(mode).partitionBy("name").text(path)
+
+
 def section_dump(elements: DataFrame) -> DataFrame:
     """Text lines of a section: id, type and nodes."""
     return elements.select("section_id", F.concat_ws(" ", F.col("elem_id").cast("string"), F.col("elem_type").cast("string"), E.key_text(F.col("nodes"))).alias("line"))

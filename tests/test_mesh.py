@@ -162,3 +162,33 @@ def test_mixed_streams_that_are_damaged(spark):
     for bad in ([99, 1], [5, 1, 2]):
         with pytest.raises(Exception, match="unknown element type|ends inside"):
             Src.mixed_decode(spark.createDataFrame([(1, bad)], "s int, d array<long>"), "s", "d").collect()
+
+
+def test_damaged_meshes_and_precision(spark, mesh, tmp_path):
+    with pytest.raises(Src.MeshError):
+        Src.read_mesh(spark, str(tmp_path / "nothing"))
+    path = str(tmp_path / "m")
+    single = D.Mesh(mesh.nodes.select("node_id", *[F.col(a).cast("float") for a in "xyz"]), mesh.elements, mesh.sections, mesh.layers)
+    Src.write_mesh(single, path)
+    assert Src.precision(Src.read_mesh(spark, path)) == 32 and Src.precision(mesh) == 64
+    mesh.nodes.drop("z").write.mode("overwrite").parquet(f"{path}/nodes")
+    with pytest.raises(Src.MeshError, match="no column z"):
+        Src.read_mesh(spark, path)
+    Src.write_mesh(D.Mesh(mesh.nodes.where("node_id != 3"), mesh.elements, mesh.sections, 0), str(tmp_path / "gap"))
+    with pytest.raises(Src.MeshError):
+        Src.read_mesh(spark, str(tmp_path / "gap"))
+
+
+def test_unknown_types_have_their_centre_at_the_origin(spark):
+    from meshloom.functions import geometry as G
+
+    odd = spark.createDataFrame([(1, 99, [(0, 1.0, 2.0, 3.0)])], "elem_id long, elem_type int, points array<struct<pos:int,x:double,y:double,z:double>>")
+    assert tuple(G.add_centroid(odd).select("x", "y", "z").first()) == (0.0, 0.0, 0.0)
+
+
+def test_interface_centres_are_dumped(spark, cut, tmp_path):
+    rows = cut.interfaces.select("part_id", "nbr_id", "face_key", F.lit(7).alias("elem_type"), F.col("face_nodes").alias("nodes"))
+    at = T.centers(rows, cut.mesh.nodes, ("part_id", "nbr_id", "face_key"))
+    Src.write_center_dumps(at, str(tmp_path / "d"))
+    got = spark.read.text(str(tmp_path / "d")).groupBy("name").count().collect()
+    assert {r.name for r in got} == {f"Interface_{a}_{b}" for a, b in ((0, 1), (1, 0), (0, 2), (2, 0), (1, 3), (3, 1), (2, 3), (3, 2))} and {r["count"] for r in got} == {10}
