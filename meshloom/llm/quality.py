@@ -1,10 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
-Every document gets base counts; the rules then run one after another, each only on the
-documents that all earlier rules accepted, so a rejected text is never scanned again.  The
-order is by rejection per cost: each rule's seconds and rejected share are measured in one
-task on a bounded sample (`sample_rows`, a documented parameter).  A document is kept when
-no rule rejects it, so the order changes the cost and never the verdict.
+The rules run one after another, each only on the documents that all earlier rules accepted, so a rejected
+text is never scanned again; what a rule needs to know of a text (words, repeated lines, repeated words) is
+worked out when the first rule asks for it.  The order is by rejection per cost: each rule's seconds, with all that it
+needs, and its rejected share are measured on a random sample of about `sample_rows` rows (a documented
+parameter).  A document is kept when no rule rejects it, so the order changes the cost and never the verdict.
+
+`quality_filter` owes nothing but the kept documents: the base test's rules are part of its cascade.
+`quality_verdicts` owes the base counts of every document, so those are made first, and the cascade
+runs on what passes the base test.
 
 Defined results: null or blank text has no words and fails the base test; repeated rows are
 judged row by row; other columns (also of clashing names) are ignored by `quality_verdicts`
@@ -16,10 +20,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Hashes, LANES, SPACE, U, hidden, mix, slices, words
 
@@ -42,164 +48,199 @@ def _sums(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total[offs[1:]] - total[offs[:-1]]
 
 
-def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
-    rows = len(offs) - 1
-    hashes = Hashes(data)
-    starts, ends, first = words(data, offs)
-    n_words = np.diff(first)
-    solid = ~SPACE[data]
-    out = {
-        "n_words": n_words,
-        "word_chars": _sums(solid & ((data & 0xC0) != 0x80), offs),
-        "n_symbols": _sums(SYMBOLS[data], offs),
-    }
-    # Lines: split at \n and at row ends; one with a word that equals an earlier one of its row counts.
-    line_end = np.concatenate([np.flatnonzero(data == 10), offs[1:]])
-    line_end.sort(kind="stable")
-    row = np.repeat(np.arange(rows), _sums(data == 10, offs) + 1)
-    line_start = np.empty_like(line_end)
-    line_start[1:] = line_end[:-1] + 1
-    heads = np.searchsorted(row, np.arange(rows))
-    line_start[heads] = offs[:-1]
-    has_word = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
-    s, e, r = line_start[has_word], line_end[has_word], row[has_word]
-    key = mix(hashes.of(s, e) + mix(r.astype(np.uint64)))
-    distinct = np.unique(key, return_index=True)[1]
-    out["n_lines"] = np.bincount(r, minlength=rows)
-    out["n_dup_lines"] = out["n_lines"] - np.bincount(r[distinct], minlength=rows)
-    # Words inside a window of three that the row has twice or more.
-    word_row = np.repeat(np.arange(rows), n_words)
-    h = hashes.of(starts, ends)
-    covered = np.zeros(len(h), bool)
-    if len(h) >= 3:
-        ok = word_row[2:] == word_row[:-2]
-        window = mix(h[:-2] * LANES[0] + h[1:-1] * LANES[1] + h[2:] * LANES[2] + mix(word_row[:-2].astype(np.uint64)))
-        at = np.flatnonzero(ok)
-        order = np.argsort(window[at], kind="stable")
-        sorted_ = window[at][order]
-        same = sorted_[1:] == sorted_[:-1]
-        twice = np.zeros(len(at), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        hit = at[order[twice]]
-        for k in range(3):
-            covered[hit + k] = True
-    out["n_repeat_words"] = np.bincount(word_row[covered], minlength=rows)
-    return out
+class Texts:
+    """Texts end to end, and what is known of them; counts have a value a text and are made when first asked for."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        self.data, self.offs = data, offs
+        self.rows = len(offs) - 1
+
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return words(self.data, self.offs)
+
+    @cached_property
+    def hashes(self) -> Hashes:
+        return Hashes(self.data)
+
+    @cached_property
+    def n_words(self) -> np.ndarray:
+        return np.diff(self.words[2])
+
+    @cached_property
+    def n_chars(self) -> np.ndarray:
+        """Bytes that aren't white space."""
+        return _sums(~SPACE[self.data], self.offs)
+
+    @cached_property
+    def word_chars(self) -> np.ndarray:
+        return _sums(~SPACE[self.data] & ((self.data & 0xC0) != 0x80), self.offs)
+
+    @cached_property
+    def n_symbols(self) -> np.ndarray:
+        return _sums(SYMBOLS[self.data], self.offs)
+
+    @cached_property
+    def _lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lines with a word, and those of them that equal an earlier one of their text."""
+        breaks = self.data == 10
+        end = np.concatenate([np.flatnonzero(breaks), self.offs[1:]])
+        end.sort(kind="stable")
+        row = np.repeat(np.arange(self.rows), _sums(breaks, self.offs) + 1)
+        start = np.empty_like(end)
+        start[1:] = end[:-1] + 1
+        start[np.searchsorted(row, np.arange(self.rows))] = self.offs[:-1]
+        first = self.words[0]
+        some = np.searchsorted(first, end) > np.searchsorted(first, start)
+        start, end, row = start[some], end[some], row[some]
+        key = mix(self.hashes.of(start, end) + mix(row.astype(np.uint64)))
+        distinct = np.unique(key, return_index=True)[1]
+        count = np.bincount(row, minlength=self.rows)
+        return count, count - np.bincount(row[distinct], minlength=self.rows)
+
+    @property
+    def n_lines(self) -> np.ndarray:
+        return self._lines[0]
+
+    @property
+    def n_dup_lines(self) -> np.ndarray:
+        return self._lines[1]
+
+    @cached_property
+    def n_repeat_words(self) -> np.ndarray:
+        """Words inside a window of three that the text has twice or more."""
+        starts, ends, first = self.words
+        row = np.repeat(np.arange(self.rows), np.diff(first))
+        h = self.hashes.of(starts, ends)
+        covered = np.zeros(len(h), bool)
+        if len(h) >= 3:
+            window = mix(h[:-2] * LANES[0] + h[1:-1] * LANES[1] + h[2:] * LANES[2] + mix(row[:-2].astype(np.uint64)))
+            at = np.flatnonzero(row[2:] == row[:-2])
+            order = np.argsort(window[at], kind="stable")
+            same = window[at][order][1:] == window[at][order][:-1]
+            twice = np.zeros(len(at), bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            hit = at[order[twice]]
+            for k in range(3):
+                covered[hit + k] = True
+        return np.bincount(row[covered], minlength=self.rows)
+
+    def pick(self, keep: np.ndarray) -> Texts:
+        """The kept texts; counts that are known stay known."""
+        if keep.all():
+            return self
+        size = np.diff(self.offs)
+        out = Texts(self.data[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]))
+        for name in ("n_words", "n_chars", "word_chars", "n_symbols", "n_repeat_words"):
+            if name in self.__dict__:
+                out.__dict__[name] = self.__dict__[name][keep]
+        if "_lines" in self.__dict__:
+            out.__dict__["_lines"] = tuple(x[keep] for x in self._lines)
+        return out
 
 
 @dataclass(frozen=True)
 class Rule:
-    """accepts(bytes, offsets, counts) -> one flag a row, over the rows still in the race."""
+    """accepts(texts) -> one flag a text, over the texts still in the race."""
 
     name: str
-    accepts: Callable[[np.ndarray, np.ndarray, dict[str, np.ndarray]], np.ndarray]
+    accepts: Callable[[Texts], np.ndarray]
+
+
+def length(least: int) -> Rule:
+    return Rule("length", lambda t: t.n_words >= least)
 
 
 #: Integer arithmetic throughout, so that SQL gives the same verdicts.
+BASE = (
+    length(50),
+    Rule("mostly_repeats", lambda t: 100 * t.n_repeat_words <= 50 * t.n_words),
+)
 RULES = (
-    Rule("word_length", lambda d, o, c: (c["word_chars"] >= 2 * c["n_words"]) & (c["word_chars"] <= 15 * c["n_words"])),
-    Rule("symbols", lambda d, o, c: 10 * c["n_symbols"] <= c["n_words"]),
-    Rule("line_repeats", lambda d, o, c: 10 * c["n_dup_lines"] <= 3 * c["n_lines"]),
-    Rule("word_repeats", lambda d, o, c: 100 * c["n_repeat_words"] <= 30 * c["n_words"]),
-    Rule("shouting", lambda d, o, c: 2 * _sums(UPPER[d], o) <= _sums(LETTER[d], o)),
-    Rule("exclamations", lambda d, o, c: 10 * _sums(BANG[d], o) <= c["n_words"]),
-    Rule("letters", lambda d, o, c: 10 * _sums(WORDY[d], o) >= 6 * _sums(~SPACE[d], o)),
+    Rule("word_length", lambda t: (t.word_chars >= 2 * t.n_words) & (t.word_chars <= 15 * t.n_words)),
+    Rule("symbols", lambda t: 10 * t.n_symbols <= t.n_words),
+    Rule("line_repeats", lambda t: 10 * t.n_dup_lines <= 3 * t.n_lines),
+    Rule("word_repeats", lambda t: 100 * t.n_repeat_words <= 30 * t.n_words),
+    Rule("shouting", lambda t: 2 * _sums(UPPER[t.data], t.offs) <= _sums(LETTER[t.data], t.offs)),
+    Rule("exclamations", lambda t: 10 * _sums(BANG[t.data], t.offs) <= t.n_words),
+    Rule("letters", lambda t: 10 * _sums(WORDY[t.data], t.offs) >= 6 * t.n_chars),
 )
 
 
-def _pick(data: np.ndarray, offs: np.ndarray, counts: dict[str, np.ndarray], keep: np.ndarray):
-    """The kept rows' bytes, offsets and counts."""
-    length = np.diff(offs)
-    if not keep.all():
-        data = data[np.repeat(keep, length)]
-    return data, np.concatenate([[0], np.cumsum(length[keep])]), {k: v[keep] for k, v in counts.items()}
-
-
-def cascade(data: np.ndarray, offs: np.ndarray, counts: dict[str, np.ndarray], start: np.ndarray, rules) -> np.ndarray:
-    """Flags of the rows of `start` that every rule accepts."""
-    kept = start.copy()
-    live = np.flatnonzero(start)
-    data, offs, counts = _pick(data, offs, counts, start)
+def cascade(texts: Texts, rules) -> np.ndarray:
+    """Flags of the texts that every rule accepts."""
+    kept = np.ones(texts.rows, bool)
+    live = np.arange(texts.rows)
     for rule in rules:
         if not len(live):
             break
-        good = rule.accepts(data, offs, counts)
+        good = rule.accepts(texts)
         kept[live[~good]] = False
         live = live[good]
-        data, offs, counts = _pick(data, offs, counts, good)
+        texts = texts.pick(good)
     return kept
 
 
-def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
-    return (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+def base_failed(t: Texts) -> np.ndarray:
+    return ~(BASE[0].accepts(t) & BASE[1].accepts(t))
 
 
-def cascade_order(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 500) -> list[str]:
-    """Rule names by rejected share per second, dearest last, measured on sample_rows rows in one task."""
+def cascade_order(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 500) -> list[Rule]:
+    """Rules by rejected share per second, measured where the sampled rows are; nothing known of a text is
+    shared between rules, so a rule's seconds have all that it needs."""
+    total = docs.count()
+    if not total:
+        return list(rules)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, lost, seen = dict.fromkeys([r.name for r in rules], 0.0), dict.fromkeys([r.name for r in rules], 0), 0
+        spent, lost = np.zeros(len(rules)), np.zeros(len(rules))
         for batch in batches:
             for _, _, data, offs in slices(batch[0]):
-                counts = base_counts(data, offs)
-                ok = ~base_failed(counts)
-                d, o, c = _pick(data, offs, counts, ok)
-                seen += len(o) - 1
-                for r in rules:
-                    t = time.perf_counter()
-                    lost[r.name] += int((~r.accepts(d, o, c)).sum())
-                    spent[r.name] += time.perf_counter() - t
-        yield pa.RecordBatch.from_pydict({"name": list(spent), "score": [(lost[k] / max(1, seen)) / (spent[k] + 1e-6) for k in spent]})
-
-    rows = docs.select(text_col).limit(sample_rows).mapInArrow(measure, "name string, score double").collect()
-    score = {r.name: 0.0 for r in rules}
-    for r in rows:  # one task, so one row a rule; a few rows more if the plan splits the sample
-        score[r.name] += r.score
-    return sorted(score, key=lambda k: -score[k])
+                for k, rule in enumerate(rules):
+                    t = time.thread_time()
+                    lost[k] += (~rule.accepts(Texts(data, offs))).sum()
+                    spent[k] += time.thread_time() - t
+        yield pa.RecordBatch.from_pydict({"k": np.arange(len(rules)), "spent": spent, "lost": lost})
 
-
-COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
+    sample = docs.select(text_col).sample(fraction=min(1.0, sample_rows / total), seed=11)
+    rows = sample.mapInArrow(measure, "k long, spent double, lost double").groupBy("k").agg(F.sum("spent").alias("spent"), F.sum("lost").alias("lost")).collect()
+    score = {r.k: r.lost / (r.spent + 1e-6) for r in rows}
+    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -score.get(k, 0.0))]
 
 
-def _judge(batch: pa.RecordBatch, text_at: int, rules) -> list[pa.Array]:
-    parts: dict[str, list[np.ndarray]] = {}
-    for _, _, data, offs in slices(batch.column(text_at)):
-        counts = base_counts(data, offs)
-        failed = base_failed(counts)
-        got = counts | {"base_failed": failed, "kept": cascade(data, offs, counts, ~failed, rules)}
-        for k, v in got.items():
-            parts.setdefault(k, []).append(v)
-    names = [x.split()[0] for x in COLUMNS.split(", ")]
-    return [pa.array(np.concatenate(parts[k]), pa.bool_() if k in ("base_failed", "kept") else pa.int64()) for k in names]
+COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, sample_rows: int = 500) -> DataFrame:
     """One row a document: id, base counts, base_failed and kept."""
-    order = cascade_order(docs, text_col, rules, sample_rows)
-    by_name = {r.name: r for r in rules}
-    ordered = tuple(by_name[k] for k in order)
+    ordered = cascade_order(docs, text_col, rules, sample_rows)
     kind = docs.schema[id_col].dataType.simpleString()
+    names = [x.split()[0] for x in COLUMNS.split(", ")]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *_judge(batch, 1, ordered)], [id_col, *[x.split()[0] for x in COLUMNS.split(", ")]])
+            for i, j, data, offs in slices(batch.column(1)):
+                texts = Texts(data, offs)
+                counts = [pa.array(getattr(texts, name), pa.int64()) for name in names[:-2]]
+                failed = base_failed(texts)
+                kept = ~failed
+                kept[kept] = cascade(texts.pick(kept), ordered)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *counts, pa.array(failed), pa.array(kept)], [id_col, *names])
 
     return docs.select(id_col, text_col).mapInArrow(judge, f"`{id_col}` {kind}, {COLUMNS}")
 
 
-def quality_filter(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = 500) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    order = cascade_order(docs, text_col, rules, sample_rows)
-    by_name = {r.name: r for r in rules}
-    ordered = tuple(by_name[k] for k in order)
+def quality_filter(docs: DataFrame, text_col: str = "text", rules=BASE + RULES, sample_rows: int = 500) -> DataFrame:
+    """The documents that no rule rejects, with all their columns."""
+    ordered = cascade_order(docs, text_col, rules, sample_rows)
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(_judge(batch, at, ordered)[-1])
+            flags = [cascade(Texts(data, offs), ordered) for _, _, data, offs in slices(batch.column(at))]
+            if flags:
+                yield batch.filter(pa.array(np.concatenate(flags)))
 
     return docs.mapInArrow(keep, docs.schema)
 
