@@ -15,8 +15,9 @@ PASSAGE = 200
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return quality.quality_filter(docs)
+    """Rejected documents go.  Short ones stay if they have a word: among labelled documents, 4.9 % of the good and
+    4.0 % of the bad have fewer than 50 words, so the base test's length says nothing here."""
+    return quality.quality_filter(docs, rules=(quality.length(1), *quality.BASE[1:], *quality.RULES))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
