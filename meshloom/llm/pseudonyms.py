@@ -22,15 +22,20 @@ give way to clashing ones in `pseudonymised`.  Texts of any length are handled r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hidden
 
 ROUNDS = 6
+#: Session setting that holds the key.
+KEY_SETTING = "spark.meshloom.pseudonymKey"
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# Possessive loops: a greedy group is matched by recursion, which long addresses would exhaust.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 ASSIGNED = r"(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_key)[ ]?[=:][ ]?\"?[A-Za-z0-9_+/-]{8,}\"?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -48,8 +53,14 @@ LOOSE = (rf"^(?=[3-6]|2[2-7]){_any(16)}", rf"^(?=3[ -]?[47]){_any(15)}")
 LEAST = tuple(rf"^(?!0){_any(n)}" for n in range(19, 12, -1))
 PATTERN = "|".join((EMAIL, KEY, ASSIGNED, IPV4, PHONE, SSN, DATE))
 KINDS = ("email", "key", "assigned", "ipv4", "phone", "ssn", "date")
-#: Any of these characters starts or is part of every finding that a digit or @ or = belongs to.
-PRESENT = r"[0-9@]|AKIA|[=:]"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's KEY_SETTING; where it is unset, one drawn for this session, so that pseudonyms
+    are linked within the session but never predictable."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
 
 
 def _let(value: Column, body) -> Column:
@@ -101,18 +112,21 @@ def _shift(text: Column, digest: Column, hexadecimal: Column) -> Column:
 
 def feistel_text(text: Column, key: str, kind: str) -> Column:
     """A permutation of ASCII strings that keeps the class of each character (and hexadecimal strings so)."""
-    hexadecimal = text.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{8,}$")
+    return _let(text.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{8,}$"), lambda h: _feistel_text(text, h, key, kind))
+
+
+def _feistel_text(text: Column, hexadecimal: Column, key: str, kind: str) -> Column:
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substr(text, F.lit(1), half).alias("a"), F.substr(text, half + 1).alias("b"))
 
     def step(acc, r):
         even = r % 2 == 0
-        a = F.when(even & (F.length(acc["a"]) > 0), _shift(acc["a"], _digest(key, kind, r, acc["b"]), hexadecimal)).otherwise(acc["a"])
-        b = F.when(even, acc["b"]).otherwise(_shift(acc["b"], _digest(key, kind, r, acc["a"]), hexadecimal))
+        a = F.when(even & (F.length(acc["a"]) > 0), _let(_digest(key, kind, r, acc["b"]), lambda d: _shift(acc["a"], d, hexadecimal))).otherwise(acc["a"])
+        b = F.when(even, acc["b"]).otherwise(_let(_digest(key, kind, r, acc["a"]), lambda d: _shift(acc["b"], d, hexadecimal)))
         return F.struct(a.alias("a"), b.alias("b"))
 
     out = F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, step)
-    return F.concat(out["a"], out["b"])
+    return _let(out, lambda x: F.concat(x["a"], x["b"]))
 
 
 def _digits(m: Column) -> Column:
@@ -300,14 +314,14 @@ def _text(pieces: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: p["text"]), "")
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = "meshloom") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with the text's personal data replaced; all rows and columns stay, in their order."""
     name = hidden("pieces", docs)
     got = _with_pieces(docs, text_col, key, name)
     return got.select(*[_text(F.col(name)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
-def pseudonym_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "meshloom") -> DataFrame:
+def pseudonym_report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_found): the changed text and how many values were found in it (of cards the valid ones)."""
     docs = docs.select(id_col, text_col)
     name = hidden("pieces", docs)

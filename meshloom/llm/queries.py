@@ -44,7 +44,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonym_report(_table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonym_report(_table(spark, sf_dir, "documents"), pseudonyms.session_key(spark))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
