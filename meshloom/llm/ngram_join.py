@@ -563,6 +563,8 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot = members.groupBy("list").agg(F.count("*").alias("m")).where(f"m > {HOT_LIST}").select("list")
     known, tried, merged = members.withColumn("comp", F.col("sid")), None, []
     for turn, kind in enumerate(TURNS):
+        if known.isEmpty():  # no list has sets of two components any more
+            break
         # A list without a pair in one turn has none in the next; those that are split stay to the end.
         got = grouped(split(known.join(points, "sid"), F.col("sid") == F.col("hub")), kind, turn)
         fresh = got.where("a IS NOT NULL").select("a", "b", "u", "v").distinct()
@@ -571,15 +573,17 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # Each turn works on the graph whose nodes are the components of the turn before.
         merged.append(scratch.cut(components(verified(fresh), scratch).withColumnRenamed("node", "comp"), "merged"))
         live = known.join(got.where("list IS NOT NULL").select("list").union(hot).distinct(), "list")
-        named = live.join(merged[-1], "comp", "left").select("list", "sid", F.coalesce("component", "comp").alias("comp"))
+        # Written before it is grouped, so the counts of a hot list are put together from all tasks that have its rows.
+        named = scratch.cut(live.join(merged[-1], "comp", "left").select("list", "sid", F.coalesce("component", "comp").alias("comp")), "open")
         mixed = named.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("list")
-        known = scratch.cut(named.join(mixed, "list"), "open")
-    size = known.groupBy("list", "comp").agg(F.count("*").alias("c"))
-    main = size.groupBy("list").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    rest = grouped(split(known.join(main, "list").join(points, "sid"), F.col("comp") != F.col("main")), "all")
-    rest = rest.select("a", "b", "u", "v").distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(scratch.cut(rest, "rest"))
-    merged.append(scratch.cut(components(more, scratch).withColumnRenamed("node", "comp"), "merged"))
+        known = named.join(mixed, "list")
+    if not known.isEmpty():
+        size = known.groupBy("list", "comp").agg(F.count("*").alias("c"))
+        main = size.groupBy("list").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        rest = grouped(split(known.join(main, "list").join(points, "sid"), F.col("comp") != F.col("main")), "all")
+        rest = rest.select("a", "b", "u", "v").distinct().join(tried, ["a", "b"], "left_anti")
+        more = verified(scratch.cut(rest, "rest"))
+        merged.append(scratch.cut(components(more, scratch).withColumnRenamed("node", "comp"), "merged"))
 
     named = classed.withColumn("comp", F.col("sid"))
     for names in merged:
