@@ -49,8 +49,16 @@ def mixed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return D.mixed_elements(part, "p_partkey"), D.mixed_nodes(mesh(s, d), part, "p_partkey")
 
 
+_LAST: list[Cut] = []
+
+
 def default_cut(s: SparkSession, d: str) -> Cut:
-    return cut_cartesian(mesh(s, d), 2, 2, 2)
+    """The cut of the queries.  What the one before persisted is given back, so caches don't pile up; a query
+    of it that runs later computes it again."""
+    while _LAST:
+        _LAST.pop().release()
+    _LAST.append(cut_cartesian(mesh(s, d), 2, 2, 2))
+    return _LAST[0]
 
 
 def six(*names: str) -> list:
