@@ -73,9 +73,16 @@ def in_box(box: dict[str, Column]) -> Column:
     return out
 
 
+def held(centers: DataFrame) -> DataFrame:
+    """centers with x, y, z as finished values: what filters by them doesn't repeat how they are computed, which
+    would make generated code too large to compile."""
+    keep = [c for c in centers.columns if c not in AXES]
+    return centers.select(*keep, F.explode(F.array(F.struct(*AXES))).alias("__at")).select(*keep, *[F.col(f"__at.{a}").alias(a) for a in AXES])
+
+
 def box_pick(centers: DataFrame, boxes: DataFrame) -> DataFrame:
     """Inclusive boxes, as a range join: a centre on a cut is in both parts.  boxes has one row a part."""
-    return centers.join(F.broadcast(boxes), in_box({c: F.col(c) for c in boxes.columns}))
+    return held(centers).join(F.broadcast(boxes), in_box({c: F.col(c) for c in boxes.columns}))
 
 
 def neighbours(spark: SparkSession, nx: int, ny: int, nz: int) -> DataFrame:

@@ -359,7 +359,7 @@ def part_boxes(s, d):
 def cells_in_box(s, d):
     m = mesh(s, d)
     box = {k: F.lit(v) for k, v in {"min_x": 2.0, "max_x": 6.5, "min_y": 1.0, "max_y": 4.25, "min_z": 0.0, "max_z": 1.75}.items()}
-    return T.centers(body(m), m.nodes).where(C.in_box(box)).select("elem_id")
+    return C.held(T.centers(body(m), m.nodes)).where(C.in_box(box)).select("elem_id")
 
 
 @query(_BOX + "--- SELECT part_id, elem_id, elem_type FROM ctr, pb WHERE x BETWEEN pb.min_x AND pb.max_x AND y BETWEEN pb.min_y AND pb.max_y AND z BETWEEN pb.min_z AND pb.max_z", cut=True)
