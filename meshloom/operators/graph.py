@@ -20,10 +20,11 @@ def dual_graph(cells: DataFrame, common: int = 4) -> DataFrame:
     """(a, b, n_shared), a < b: cells sharing at least min(common, fewer nodes - 1) nodes.
 
     A node's cells are few and bounded by the mesh, so pairs per node are local; the counts are
-    aggregated before they move."""
+    aggregated before they move.  Sizes of exploded rows are estimated far too low, so the join is
+    told to merge: a broadcast would hold all nodes of all cells in the driver."""
     each = cells.select("elem_id", F.size("nodes").alias("n"), F.explode("nodes").alias("node_id"))
     other = each.select(F.col("elem_id").alias("b"), F.col("n").alias("nb"), "node_id")
-    pairs = each.withColumnRenamed("elem_id", "a").join(other, "node_id").where("a < b").groupBy("a", "b", "n", "nb").agg(F.count("*").alias("n_shared"))
+    pairs = each.withColumnRenamed("elem_id", "a").join(other.hint("merge"), "node_id").where("a < b").groupBy("a", "b", "n", "nb").agg(F.count("*").alias("n_shared"))
     return pairs.where(F.col("n_shared") >= F.least(F.lit(common), F.col("n") - 1, F.col("nb") - 1)).select("a", "b", "n_shared")
 
 

@@ -192,3 +192,12 @@ def test_interface_centres_are_dumped(spark, cut, tmp_path):
     Src.write_center_dumps(at, str(tmp_path / "d"))
     got = spark.read.text(str(tmp_path / "d")).groupBy("name").count().collect()
     assert {r.name for r in got} == {f"Interface_{a}_{b}" for a, b in ((0, 1), (1, 0), (0, 2), (2, 0), (1, 3), (3, 1), (2, 3), (3, 2))} and {r["count"] for r in got} == {10}
+
+
+def test_dual_graph_broadcasts_no_cells(spark):
+    part = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey")
+    graph = Gr.dual_graph(D.mixed_elements(part, "p_partkey"))
+    assert graph.where("a >= b OR n_shared < 3").count() == 0 and graph.count() == graph.select("a", "b").distinct().count() > 0
+    # The plan's estimate of exploded rows is far below the default threshold, whatever the table's length.
+    plan = graph._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
