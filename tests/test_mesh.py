@@ -201,3 +201,25 @@ def test_dual_graph_broadcasts_no_cells(spark):
     # The plan's estimate of exploded rows is far below the default threshold, whatever the table's length.
     plan = graph._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+CENTRES = ("cell_centers",)
+
+
+@pytest.mark.parametrize("name", CENTRES)
+def test_apexes_may_have_ids_of_lattice_nodes(spark, tmp_path, name):
+    import duckdb
+
+    from meshloom.plans import queries
+
+    # Apexes from 100001 on meet the nodes of layer 826.
+    keys = spark.range(300).union(spark.range(82600, 82700))
+    keys.selectExpr("id AS p_partkey", "CAST(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    whole = "elem_id <= 1200 OR elem_id > 495600"  # layers with the nodes above them
+    centres = queries.QUERIES[name](spark, str(tmp_path))
+    assert "Broadcast" not in centres._jdf.queryExecution().executedPlan().toString()
+    got = centres.where(whole).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = db.execute(f"SELECT * FROM ({queries.ORACLES[name]}) WHERE {whole}").fetchall()
+    assert want and sorted(map(tuple, got)) == sorted(want)
