@@ -203,7 +203,7 @@ def test_dual_graph_broadcasts_no_cells(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-CENTRES = ("cell_centers",)
+CENTRES = ("cell_centers", "centroid_hexa")
 
 
 @pytest.mark.parametrize("name", CENTRES)
