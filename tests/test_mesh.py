@@ -203,7 +203,7 @@ def test_dual_graph_broadcasts_no_cells(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-CENTRES = ("cell_centers", "centroid_hexa", "centroid_penta")
+CENTRES = ("cell_centers", "centroid_hexa", "centroid_penta", "centroid_pyra")
 
 
 @pytest.mark.parametrize("name", CENTRES)
