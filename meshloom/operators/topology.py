@@ -62,10 +62,13 @@ def interior_faces(interior: DataFrame, part_nodes: DataFrame) -> DataFrame:
 
 
 def with_points(cells: DataFrame, nodes: DataFrame, id_cols: tuple[str, ...] = ("elem_id",)) -> DataFrame:
-    """Cells with `points`, their nodes' coordinates in order: a join on node id and one grouping by cell."""
+    """Cells with `points`, eight structs of their nodes' coordinates in order, null where a cell has no such node:
+    a join on node id and one grouping by cell.  Each place has the largest of each coordinate, so cells or nodes
+    that are listed twice count once, and a missing node moves no other."""
     each = cells.select(*id_cols, "elem_type", F.posexplode("nodes").alias("pos", "node_id"))
-    met = each.join(nodes, "node_id").groupBy(*id_cols, "elem_type").agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y", "z"))).alias("points"))
-    return met
+    placed = [F.max(F.when(F.col("pos") == i, F.col(a))).alias(f"{a}{i}") for i in range(8) for a in G.AXES]
+    met = each.join(nodes, "node_id").groupBy(*id_cols, "elem_type").agg(*placed)
+    return met.select(*id_cols, "elem_type", F.array(*[F.struct(*[F.col(f"{a}{i}").alias(a) for a in G.AXES]) for i in range(8)]).alias("points"))
 
 
 def centers(cells: DataFrame, nodes: DataFrame, id_cols: tuple[str, ...] = ("elem_id",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A dense 0-based key p is cell p + 1 of a lattice 10 wide and 10 deep: i = p % 10, j = p / 10 % 10,
 k = p / 100.  Nodes lie on the lattice points with a dyadic jitter.  All of it is narrow: each row
-emits its own cell, nodes and faces, so a mesh costs no shuffle, whatever its length.
+emits its own cell and faces, and nodes are a range, so a mesh costs no shuffle, whatever its length.
 """
 
 from __future__ import annotations
@@ -74,9 +74,9 @@ def hex_mesh(keys: DataFrame, key: str, solid: Column) -> Mesh:
     rows += [(cond, lit(5), base + 1 + (k * 4 + s) * 10 + t, F.array(*[c[x] for x in f])) for cond, s, t, f in sides]
     rows += [(i == 5, lit(6), base + 40 * layers + 1 + j + 10 * k, F.array(c[0], c[4], c[7], c[3]))]
     elements = cells.select(F.explode(_emit(rows)).alias("e")).select("e.section_id", "e.elem_id", F.when(F.size("e.nodes") == 8, 17).otherwise(7).alias("elem_type"), "e.nodes")
-    more = lambda cond: F.when(cond, F.array(lit(0), lit(1))).otherwise(F.array(lit(0)))
-    points = cells.select("i", "j", "k", F.explode(more(i == 9)).alias("a")).select("i", "j", "k", "a", F.explode(more(j == 9)).alias("b")).select("i", "j", "k", "a", "b", F.explode(more(k == layers - 1)).alias("c"))
-    points = points.select((i + F.col("a")).alias("i"), (j + F.col("b")).alias("j"), (k + F.col("c")).alias("k")).withColumn("node_id", node_at(i, j, k))
+    # Every point of the lattice up to the last key's layer, as in the SQL: cells on either side of a gap keep theirs.
+    at = F.col("node_id") - 1
+    points = spark.range(1, 121 * (layers + 1) + 1).select(F.col("id").alias("node_id")).select("node_id", (at % 11).alias("i"), (F.floor(at / 11) % 11).alias("j"), F.floor(at / 121).alias("k"))
     nodes = points.select("node_id", *coordinates(F.col("node_id"), i, j, k))
     # Sections are a handful of rows; their ranges follow from the lattice, without a scan of the elements.
     head = elements.groupBy("section_id").agg(F.min("elem_type").alias("elem_type"), F.min("elem_id").alias("start"), F.max("elem_id").alias("end"), F.count("*").alias("n_elem"))

@@ -225,6 +225,25 @@ def test_apexes_may_have_ids_of_lattice_nodes(spark, tmp_path, name):
     assert want and sorted(map(tuple, got)) == sorted(want)
 
 
+GAPPED = ("centroid_hexa",)
+
+
+@pytest.mark.parametrize("name", GAPPED)
+def test_keys_may_have_gaps_and_come_twice(spark, tmp_path, name):
+    import duckdb
+
+    from meshloom.plans import queries
+
+    # Layers 3 to 9 and half of the last one are missing; forty cells are listed twice.
+    keys = spark.range(300).union(spark.range(1000, 1150)).union(spark.range(40))
+    keys.selectExpr("id AS p_partkey", "CAST(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = db.execute(queries.ORACLES[name]).fetchall()
+    assert want and set(map(tuple, got)) == set(want) and len(got) == len(want)
+
+
 def test_formatted_names_of_long_keys_equal_the_sql(spark, tmp_path):
     import duckdb
 
