@@ -225,7 +225,7 @@ def test_apexes_may_have_ids_of_lattice_nodes(spark, tmp_path, name):
     assert want and sorted(map(tuple, got)) == sorted(want)
 
 
-GAPPED = ("centroid_hexa", "centroid_penta")
+GAPPED = ("centroid_hexa", "centroid_penta", "centroid_pyra")
 
 
 @pytest.mark.parametrize("name", GAPPED)
