@@ -67,7 +67,7 @@ def with_points(cells: DataFrame, nodes: DataFrame, id_cols: tuple[str, ...] = (
     that are listed twice count once, and a missing node moves no other."""
     each = cells.select(*id_cols, "elem_type", F.posexplode("nodes").alias("pos", "node_id"))
     placed = [F.max(F.when(F.col("pos") == i, F.col(a))).alias(f"{a}{i}") for i in range(8) for a in G.AXES]
-    met = each.join(nodes, "node_id").groupBy(*id_cols, "elem_type").agg(*placed)
+    met = each.join(nodes.hint("merge"), "node_id").groupBy(*id_cols, "elem_type").agg(*placed)
     return met.select(*id_cols, "elem_type", F.array(*[F.struct(*[F.col(f"{a}{i}").alias(a) for a in G.AXES]) for i in range(8)]).alias("points"))
 
 
