@@ -61,8 +61,10 @@ def hex_mesh(keys: DataFrame, key: str, solid: Column) -> Mesh:
     """Hexahedra with body, boundary and interior sections.  solid: flag of rows in the solid section."""
     spark = keys.sparkSession
     cells = lattice(keys.withColumn("solid", solid).select(key, "solid"), key)
-    n = keys.agg(F.max(key)).first()[0] + 1
+    last = keys.agg(F.max(key)).first()[0]
+    n = 0 if last is None else last + 1
     layers = n // (WIDE * WIDE)
+    planes = 0 if last is None else layers + 1  # of nodes; as in the SQL, none without a key
     i, j, k = F.col("i"), F.col("j"), F.col("k")
     c = corners(i, j, k)
     lit = F.lit
@@ -76,7 +78,7 @@ def hex_mesh(keys: DataFrame, key: str, solid: Column) -> Mesh:
     elements = cells.select(F.explode(_emit(rows)).alias("e")).select("e.section_id", "e.elem_id", F.when(F.size("e.nodes") == 8, 17).otherwise(7).alias("elem_type"), "e.nodes")
     # Every point of the lattice up to the last key's layer, as in the SQL: cells on either side of a gap keep theirs.
     at = F.col("node_id") - 1
-    points = spark.range(1, 121 * (layers + 1) + 1).select(F.col("id").alias("node_id")).select("node_id", (at % 11).alias("i"), (F.floor(at / 11) % 11).alias("j"), F.floor(at / 121).alias("k"))
+    points = spark.range(1, 121 * planes + 1).select(F.col("id").alias("node_id")).select("node_id", (at % 11).alias("i"), (F.floor(at / 11) % 11).alias("j"), F.floor(at / 121).alias("k"))
     nodes = points.select("node_id", *coordinates(F.col("node_id"), i, j, k))
     # Sections are a handful of rows; their ranges follow from the lattice, without a scan of the elements.
     head = elements.groupBy("section_id").agg(F.min("elem_type").alias("elem_type"), F.min("elem_id").alias("start"), F.max("elem_id").alias("end"), F.count("*").alias("n_elem"))

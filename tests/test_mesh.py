@@ -244,6 +244,25 @@ def test_keys_may_have_gaps_and_come_twice(spark, tmp_path, name):
     assert want and set(map(tuple, got)) == set(want) and len(got) == len(want)
 
 
+KEYLESS = ("centroid_penta",)
+
+
+@pytest.mark.parametrize("name", KEYLESS)
+def test_tables_without_keys_have_no_centres(spark, tmp_path, name):
+    import duckdb
+
+    from meshloom.plans import queries
+
+    for case, rows in (("none", []), ("null", [(None, 1), (None, 2)])):
+        at = f"{tmp_path}/{case}"
+        spark.createDataFrame(rows, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{at}/part.parquet")
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW part AS FROM '{at}/part.parquet/*.parquet'")
+        got = queries.QUERIES[name](spark, at).collect()
+        assert got == db.execute(queries.ORACLES[name]).fetchall() == []
+        assert queries.mesh(spark, at).nodes.count() == 0
+
+
 def test_formatted_names_of_long_keys_equal_the_sql(spark, tmp_path):
     import duckdb
 
