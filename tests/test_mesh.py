@@ -244,7 +244,7 @@ def test_keys_may_have_gaps_and_come_twice(spark, tmp_path, name):
     assert want and set(map(tuple, got)) == set(want) and len(got) == len(want)
 
 
-KEYLESS = ("centroid_penta",)
+KEYLESS = ("centroid_penta", "centroid_pyra")
 
 
 @pytest.mark.parametrize("name", KEYLESS)
